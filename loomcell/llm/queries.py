@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomcell.llm import canonical_list, components, skeleton
+from loomcell.llm import canonical_list, components, contamination, garbled, mixing, skeleton
 from loomcell.runtime import latest, load
 
 
@@ -54,6 +54,33 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return components.components(links)
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_groups, p5_found, p5_matches, p6_found)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    found = contamination.leaked_runs(load(spark, d, "documents"), "doc_id", "text", load(spark, d, "eval_items"), "item_id", "text")
+    return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
+
+
+def p8_paraphrases(spark: SparkSession, d: str) -> DataFrame:
+    found = contamination.paraphrases(load(spark, d, "documents"), "doc_id", "text", load(spark, d, "eval_items"), "item_id", "text")
+    return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "cosine", "in_order", "answer")
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    used, _ = mixing.uses(load(spark, d, "documents"), "doc_id", "source", "text", load(spark, d, "mix_targets"))
+    return used.withColumnRenamed("id", "doc_id")
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.report(*mixing.uses(load(spark, d, "documents"), "doc_id", "source", "text", load(spark, d, "mix_targets")))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return garbled.garbled(load(spark, d, "documents"), "doc_id", "text").select("doc_id")
+
+
+def p10_restored(spark: SparkSession, d: str) -> DataFrame:
+    return garbled.garbled(load(spark, d, "documents"), "doc_id", "text")
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_groups, p5_found, p5_matches, p6_found, p8_found, p8_paraphrases, p9_mix, p9_shares, p10_found, p10_restored)}
 
 ORACLE: dict[str, str] = {}
