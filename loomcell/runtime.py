@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import atexit
-import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -77,8 +77,8 @@ def ship(spark: SparkSession) -> None:
     with zipfile.ZipFile(target, "w") as z:
         for p in root.rglob("*.py"):
             z.write(p, Path(root.name) / p.relative_to(root))
-    sc.addPyFile(str(target))
-    os.unlink(target)
+    sc.addPyFile(str(target))  # served from here as long as the session lives
+    atexit.register(shutil.rmtree, target.parent, ignore_errors=True)
 
 
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
