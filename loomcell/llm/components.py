@@ -16,6 +16,9 @@ from loomcell.runtime import cut, lookup_join
 #: Rounds of breadth-first peeling; what a giant component's long tails leave is
 #: left to the propagation, with all that was reached as one vertex.
 PEEL_ROUNDS = 6
+#: A side of up to so many rows is broadcast. The rounds' broadcasts live side by
+#: side in the driver until it collects garbage, so the bound is low.
+SMALL = 10_000
 
 
 def _both(pairs: DataFrame) -> DataFrame:
@@ -34,7 +37,7 @@ def _follow(df: DataFrame, column: str, up: DataFrame) -> DataFrame:
     """Replace a column's vertices by what they are hooked to, if they are."""
     others = [c for c in df.columns if c != column]
     keyed = df.withColumnRenamed(column, "k")
-    j = lookup_join(keyed, up.select(F.col("v").alias("k"), "to"), "k", "left", spread=F.col(others[0]))
+    j = lookup_join(keyed, up.select(F.col("v").alias("k"), "to"), "k", "left", spread=F.col(others[0]), rows=SMALL)
     return j.select(*others, F.coalesce("to", "k").alias(column)).select(*df.columns)
 
 
@@ -44,7 +47,7 @@ def peel(edges: DataFrame, rounds: int = PEEL_ROUNDS) -> DataFrame:
     hub = edges.groupBy("a").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "a").limit(1).select(F.col("a").alias("v"))
     seen = frontier = cut(hub)
     for _ in range(rounds):
-        step = lookup_join(edges, frontier.select(F.col("v").alias("a")), "a", "left_semi", spread=F.col("b"))
+        step = lookup_join(edges, frontier.select(F.col("v").alias("a")), "a", "left_semi", spread=F.col("b"), rows=SMALL)
         frontier = cut(step.select(F.col("b").alias("v")).distinct().join(seen, "v", "left_anti"))
         if frontier.isEmpty():
             break
@@ -65,7 +68,7 @@ def components(pairs: DataFrame, rounds: int = PEEL_ROUNDS) -> DataFrame:
     labels = edges.select(F.col("a").alias("v")).distinct().join(giant, "v", "left").select("v", F.coalesce("to", "v").alias("to"))
     labels = cut(labels)
     # links inside the peeled part are gone; those on its border lead to its label
-    rest = lookup_join(edges, giant.select(F.col("v").alias("a")), "a", "left_anti", spread=F.col("b"))
+    rest = lookup_join(edges, giant.select(F.col("v").alias("a")), "a", "left_anti", spread=F.col("b"), rows=SMALL)
     rest = _both(_follow(rest, "b", giant).where("a <> b"))
     rest = cut(rest)
     while not rest.isEmpty():
