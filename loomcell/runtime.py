@@ -39,24 +39,32 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint; it cuts the lineage and survives lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+_SPOOLED: list[str] = []
 
 
 def spool(df: DataFrame) -> DataFrame:
     """Write an intermediate table to the shared folder and read it again.
 
-    Columnar and compressed, so cheaper than a checkpoint for wide data; the
-    files go when the session's process ends."""
+    Cuts the lineage and survives lost executors like a checkpoint. It also ends
+    the size estimates: a checkpoint keeps those of its plan, and over the rounds
+    of an iteration their products grow to numbers that the planner can't handle
+    in reasonable time; a written table has its true size. The files go when the
+    session's process ends, or by clear()."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/spool-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(remove, spark, path)
+    if not _SPOOLED:
+        atexit.register(clear, spark)
+    _SPOOLED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Remove all intermediate tables; DataFrames built on them can't run then."""
+    while _SPOOLED:
+        remove(spark, _SPOOLED.pop())
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a path on any Hadoop file system; errors are of no consequence."""
     try:
