@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomcell.runtime import cut, lookup_join
+from loomcell.runtime import lookup_join, spool
 
 #: Rounds of breadth-first peeling; what a giant component's long tails leave is
 #: left to the propagation, with all that was reached as one vertex.
@@ -27,10 +27,10 @@ def _both(pairs: DataFrame) -> DataFrame:
 
 def _hook(edges: DataFrame) -> DataFrame:
     """Each vertex's smallest neighbour or itself, twice followed: v, to."""
-    up = cut(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("to")))
+    up = spool(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("to")))
     for _ in range(2):
         up = up.select("v", F.col("to").alias("k")).join(up.select(F.col("v").alias("k"), F.col("to").alias("far")), "k").select("v", F.col("far").alias("to"))
-    return cut(up)
+    return spool(up)
 
 
 def _follow(df: DataFrame, column: str, up: DataFrame) -> DataFrame:
@@ -45,13 +45,13 @@ def peel(edges: DataFrame, rounds: int = PEEL_ROUNDS) -> DataFrame:
     """The vertices reached from the one of highest degree (smallest id at a tie)
     within so many breadth-first rounds: v. Early end when nothing is new."""
     hub = edges.groupBy("a").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "a").limit(1).select(F.col("a").alias("v"))
-    seen = frontier = cut(hub)
+    seen = frontier = spool(hub)
     for _ in range(rounds):
         step = lookup_join(edges, frontier.select(F.col("v").alias("a")), "a", "left_semi", spread=F.col("b"), rows=SMALL)
-        frontier = cut(step.select(F.col("b").alias("v")).distinct().join(seen, "v", "left_anti"))
+        frontier = spool(step.select(F.col("b").alias("v")).distinct().join(seen, "v", "left_anti"))
         if frontier.isEmpty():
             break
-        seen = cut(seen.unionByName(frontier))
+        seen = spool(seen.unionByName(frontier))
     return seen
 
 
@@ -59,20 +59,19 @@ def components(pairs: DataFrame, rounds: int = PEEL_ROUNDS) -> DataFrame:
     """pairs (a, b) of linked ids as record_id, group_id (smallest id of all linked
     directly or indirectly). Direction, repeated, self and null pairs don't matter;
     an id with none but self pairs has no row. No pairs, no rows."""
-    edges = cut(_both(pairs.where("a is not null and b is not null and a <> b")))
+    edges = spool(_both(pairs.where("a is not null and b is not null and a <> b")))
     if edges.isEmpty():
         return edges.select(F.col("a").alias("record_id"), F.col("b").alias("group_id"))
     reached = peel(edges, rounds)
-    low = reached.agg(F.min("v").alias("to"))
-    giant = cut(reached.crossJoin(F.broadcast(low)))  # one row on the right
+    giant = spool(reached.withColumn("to", F.lit(reached.agg(F.min("v")).first()[0])))  # one value
     labels = edges.select(F.col("a").alias("v")).distinct().join(giant, "v", "left").select("v", F.coalesce("to", "v").alias("to"))
-    labels = cut(labels)
+    labels = spool(labels)
     # links inside the peeled part are gone; those on its border lead to its label
     rest = lookup_join(edges, giant.select(F.col("v").alias("a")), "a", "left_anti", spread=F.col("b"), rows=SMALL)
     rest = _both(_follow(rest, "b", giant).where("a <> b"))
-    rest = cut(rest)
+    rest = spool(rest)
     while not rest.isEmpty():
         up = _hook(rest)
-        labels = cut(_follow(labels, "to", up))
-        rest = cut(_both(_follow(_follow(rest, "a", up), "b", up).where("a <> b")))
+        labels = spool(_follow(labels, "to", up))
+        rest = spool(_both(_follow(_follow(rest, "a", up), "b", up).where("a <> b")))
     return labels.select(F.col("v").alias("record_id"), F.col("to").alias("group_id"))
