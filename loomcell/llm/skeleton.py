@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomcell.runtime import lookup_join, ship
+from loomcell.runtime import lookup_join, ship, spool
 
 # Cyrillic and Greek letters drawn like Latin ones.
 _LETTERS = (
@@ -116,7 +116,7 @@ def lookalike_pairs(records: DataFrame) -> DataFrame:
     Only pairs of different texts are made, first between distinct texts of one
     skeleton, then between their records: records with the very same text, however
     many, meet each other nowhere. Clean, copied and empty tables give no rows."""
-    c = classes(records)
+    c = spool(classes(records))
     key = ["table_name", "column_name", "skeleton"]
     texts = c.groupBy(*key, "text").agg(F.count("*").alias("n"))
     mixed = texts.groupBy(*key).agg(F.min("text").alias("lo"), F.max("text").alias("hi")).where("lo <> hi").select(*key)
