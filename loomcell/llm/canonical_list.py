@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomcell.llm.skeleton import skeleton
-from loomcell.runtime import lookup_join, ship
+from loomcell.runtime import lookup_join, ship, spool
 
 #: Least Jaccard similarity of a candidate's character pairs.
 SIMILARITY = 0.25
@@ -223,7 +223,7 @@ def similar(values: DataFrame, entries: DataFrame, similarity: float) -> DataFra
         p = df.select("block", F.col("id").alias(f"{side}id"), F.col("len").alias(f"{side}len"), F.posexplode(F.slice("toks", F.lit(1), keep)).alias(f"{side}pos", "t"))
         return p
 
-    v, e = ordered(values), ordered(entries)
+    v, e = spool(ordered(values)), spool(ordered(entries))
     m = prefix(v, "v").join(prefix(e, "e"), ["block", "t"])
     need = F.ceil((F.col("vlen") + F.col("elen")) * (similarity / (1 + similarity)) - 1e-9)
     fits = (F.col("elen") >= F.col("vlen") * similarity) & (F.col("vlen") >= F.col("elen") * similarity)
@@ -248,9 +248,9 @@ def match(values: DataFrame, entries: DataFrame, similarity: float = SIMILARITY,
     fillers = FILLERS if fillers is None else fillers
     vals = values.select("block", "id", F.coalesce("text", F.lit("")).alias("text")).where("id is not null").distinct()
     keyed = vals.withColumn("k", F.sha2(F.concat_ws("\x1f", F.coalesce("block", F.lit("")), "text"), 256))
-    v = _tokens(keyed.groupBy("k").agg(F.max("block").alias("block"), F.max("text").alias("text")).select("block", F.col("k").alias("id"), "text"), "text", fillers)
+    v = spool(_tokens(keyed.groupBy("k").agg(F.max("block").alias("block"), F.max("text").alias("text")).select("block", F.col("k").alias("id"), "text"), "text", fillers))
     e = entries.where("block is not null and text is not null and target is not null").select("block", "target", "text").distinct()
-    e = _tokens(e.select("block", F.sha2(F.concat_ws("\x1f", "block", "target", "text"), 256).alias("id"), "target", "text"), "text", []).where("size(ws) > 0")
+    e = spool(_tokens(e.select("block", F.sha2(F.concat_ws("\x1f", "block", "target", "text"), 256).alias("id"), "target", "text"), "text", []).where("size(ws) > 0"))
     pairs = similar(v, e, similarity)
     known = e.select(F.explode("ws").alias("w")).distinct()
     # words that are themselves words of the list, marked per value
@@ -265,7 +265,7 @@ def match(values: DataFrame, entries: DataFrame, similarity: float = SIMILARITY,
             out = pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(made, pa.int32())], ["vid", "target", "jaccard", "cost"])
             yield out.filter(out.column(3).is_valid())
 
-    ok = p.mapInArrow(cost, "vid string, target string, jaccard double, cost int")
+    ok = spool(p.mapInArrow(cost, "vid string, target string, jaccard double, cost int"))
     best = ok.groupBy("vid").agg(F.min(F.struct("cost", (-F.col("jaccard")).alias("far"), "target")).alias("b"), F.count_distinct("target").alias("n_targets"))
     best = best.select(F.col("vid").alias("k"), "b.target", "b.cost", (-F.col("b.far")).alias("jaccard"), "n_targets")
     return lookup_join(keyed.select("k", "id"), best, "k", "left", spread=F.col("id")).drop("k")
