@@ -8,16 +8,17 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """Compatibility composition; null stays null."""
     return s.map(lambda x: None if x is None else x if x.isascii() else unicodedata.normalize("NFKC", x))
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def casefold(s: pd.Series) -> pd.Series:
     """Full case folding (ß becomes ss); null stays null."""
     return s.map(lambda x: None if x is None else x.casefold())
@@ -32,13 +33,13 @@ def _canonical(x: str | None) -> str | None:
         return None
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def canonical_json(s: pd.Series) -> pd.Series:
     """Sorted keys, no spaces, UTF-8, numbers as written (1.0 stays 1.0); null if it isn't JSON."""
     return s.map(_canonical)
 
 
-@pandas_udf("double")
+@pandas_udf(T.DoubleType())
 def round6(s: pd.Series) -> pd.Series:
     """Rounded to 6 places half-even on the binary value."""
     return s.map(lambda x: None if pd.isna(x) else round(float(x), 6))

@@ -12,6 +12,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from loomcell.runtime import lookup_join, ship, spool
@@ -38,7 +39,7 @@ def compact(s: str | None) -> str:
     return "".join(_TOKEN.findall(_plain(s)))
 
 
-@pandas_udf("array<string>")
+@pandas_udf(T.ArrayType(T.StringType()))
 def name_tokens(s: pd.Series) -> pd.Series:
     return s.map(tokens)
 
@@ -147,7 +148,7 @@ def scan(f: DataFrame, threshold: float = 0.72, most: int = 12, excluded: tuple[
         d = d.join(ordered_numbers(e.select("id", "normalized_key", "key"), ["normalized_key", "key", "id"], rows=n).where(F.col("rn") <= limit_sources).select(F.col("id").alias("source")), "source", "left_semi")
     s = d.join(e.select(F.col("id").alias("source"), F.col("toks").alias("t1"), F.col("value_type").alias("v1"), F.col("cmp").alias("c1")), "source")
     s = s.join(e.select(F.col("id").alias("candidate"), F.col("toks").alias("t2"), F.col("value_type").alias("v2"), F.col("cmp").alias("c2")), "candidate")
-    ratio = pandas_udf(lambda a, b: pd.Series([char_ratio(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype=float), "double")
+    ratio = pandas_udf(lambda a, b: pd.Series([char_ratio(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype=float), T.DoubleType())
     shared = F.size(F.array_intersect("t1", "t2")) + (F.substring("c1", 1, 4) == F.substring("c2", 1, 4)).cast("int")
     s = s.select("source", "candidate", shared.alias("shared"), (F.col("v1") == F.col("v2")).alias("same"), ratio("c1", "c2").alias("ratio"))
     w = Window.partitionBy("source").orderBy(F.desc("shared"), F.desc("same"), F.desc("ratio"), F.desc("candidate"))
