@@ -131,16 +131,14 @@ def greedy_fill(ranked: DataFrame, group: str, order: list[str], cost: str, budg
     """Walk each group's candidates in order, taking those that still fit into the
     budget (others are passed over), until `most` are taken. A group's candidates
     are the bounded result of a ranking."""
-    cols = ranked.columns
-
-    def walk(key, pdf):
-        left, taken, out = budget, 0, []
-        for i, c in enumerate(pdf.sort_values(order)[cost]):
-            ok = taken < most and c <= left
-            out.append(ok)
-            if ok:
-                left, taken = left - c, taken + 1
-        pdf = pdf.sort_values(order)
-        return pdf[out][cols]
-
-    return ranked.groupBy(group).applyInPandas(walk, ranked.schema)
+    row = F.struct(*order, *[c for c in ranked.columns if c not in order])
+    kind = ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in ranked.select(row.alias("r")).schema["r"].dataType)
+    start = F.struct(F.lit(float(budget)).alias("left"), F.lit(0).alias("taken"), F.array().cast(f"array<struct<{kind}>>").alias("kept"))
+
+    def step(acc, x):
+        ok = (acc["taken"] < most) & (x[cost] <= acc["left"])
+        kept = F.struct((acc["left"] - x[cost]).cast("double").alias("left"), (acc["taken"] + 1).alias("taken"), F.concat(acc["kept"], F.array(x)).alias("kept"))
+        return F.when(ok, kept).otherwise(acc)
+
+    g = ranked.groupBy(F.col(group).alias("__g")).agg(F.sort_array(F.collect_list(row)).alias("s"))
+    return g.select(F.explode(F.aggregate("s", start, step)["kept"]).alias("x")).select("x.*").select(*ranked.columns)

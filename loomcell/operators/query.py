@@ -104,12 +104,13 @@ def histograms(df: DataFrame, columns: list[str]) -> DataFrame:
     return stacked.groupBy("s.column_name", "s.value").agg(F.count("*").alias("n"))
 
 
-def numeric_summary(c: DataFrame) -> DataFrame:
+def numeric_summary(c: DataFrame, within: float = float("inf")) -> DataFrame:
     """Count, mean, least and greatest of a field's JSON numbers; strings and
-    booleans don't count as numbers."""
+    booleans don't count as numbers. The mean is of those smaller than `within`, so
+    that a few absurd values don't swallow the others' digits."""
     kind = S.json_kind(F.col("value_json"))
     n = c.where(kind.isin("integer", "number")).withColumn("x", F.col("value_json").try_cast("double"))
-    return n.groupBy("field_id").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.min("x").alias("least"), F.max("x").alias("greatest"))
+    return n.groupBy("field_id").agg(F.count("x").alias("n"), F.avg(F.when(F.abs("x") < within, F.col("x"))).alias("mean"), F.min("x").alias("least"), F.max("x").alias("greatest"))
 
 
 def slots(c: DataFrame, view: DataFrame, ids: DataFrame) -> DataFrame:

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import reduce
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomcell.runtime import lookup_join, spool
+from loomcell.runtime import lookup_join, ship, spool
 
 
 def is_sentinel(c: Column) -> Column:
@@ -149,25 +152,47 @@ def latest_window(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
     return df.withColumn("__r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("__r = 1").drop("__r")
 
 
-def text_mentions(texts: DataFrame, names: DataFrame, width: int = 12) -> DataFrame:
-    """Which names (name_id, name) stand in which texts (text_id, text), case apart.
+#: Names looked for in one pass over the texts.
+NAME_BLOCK = 50_000
 
-    Not a join on `contains`: a name is looked up by its first `width` characters
-    (shorter ones by all), which every text offers at each position; what meets is
-    then checked. Names are grouped by the length of their piece, one pass each.
-    A null or empty name stands nowhere."""
-    n = names.where("name is not null and name <> ''").select("name_id", F.lower("name").alias("name"))
-    n = n.withColumn("w", F.least(F.length("name"), F.lit(width))).withColumn("piece", F.substring(F.col("name"), F.lit(1), F.col("w")))
-    widths = [r["w"] for r in n.select("w").distinct().collect()]  # at most `width` values
+
+def text_mentions(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """Which names (name_id, name) stand in which texts (text_id, text), case apart:
+    text_id, name_id, once each.
+
+    No join on `contains`: a multi-pattern automaton of the names scans each text
+    once. Names are taken in blocks of bounded size, one pass each, so the list may
+    be of any length. A null or empty name stands nowhere."""
+    ship(texts.sparkSession)
+    ttype, ntype = dict(texts.dtypes)["text_id"], dict(names.dtypes)["name_id"]
+    sc = texts.sparkSession.sparkContext
     out = None
-    for w in widths:
-        mine = n.where(F.col("w") == w)
-        pieces = mine.select("piece").distinct()
-        t = texts.where(F.col("text").isNotNull()).select("text_id", F.lower("text").alias("text")).where(F.length("text") >= w)
-        at = t.select("text_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("text") - w + 1), lambda i: F.substring(F.col("text"), i, F.lit(w))))).alias("piece"))
-        met = lookup_join(at, pieces, "piece", "left_semi", spread=F.col("text_id")).join(mine, "piece")
-        if w == width:
-            met = met.join(t, "text_id").where(F.contains("text", "name"))
-        part = met.select("text_id", "name_id").distinct()
+
+    def search(block):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            by_name: dict[str, list] = {}
+            for i, n in block.value:
+                by_name.setdefault(n, []).append(i)
+            a = ahocorasick.Automaton()
+            for n, ids in by_name.items():
+                a.add_word(n, (n, ids))
+            a.make_automaton()
+            for b in batches:
+                hits = [(k, i) for k, t in enumerate(b.column(1).to_pylist()) if t for _, ids in {v[0]: v for _, v in a.iter(t)}.values() for i in ids]
+                if hits:
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([k for k, _ in hits])), pa.array([i for _, i in hits])], ["text_id", "name_id"])
+
+        return texts.select("text_id", "text").mapInArrow(run, f"text_id {ttype}, name_id {ntype}")
+
+    block: list[tuple] = []
+    for r in names.where("name is not null and name <> ''").select("name_id", "name").distinct().toLocalIterator():
+        block.append((r["name_id"], r["name"]))
+        if len(block) == NAME_BLOCK:
+            part, block = search(sc.broadcast(block)), []
+            out = part if out is None else out.unionByName(part)
+    if block:
+        part = search(sc.broadcast(block))
         out = part if out is None else out.unionByName(part)
-    return out if out is not None else texts.select("text_id", F.lit(None).cast(dict(names.dtypes)["name_id"]).alias("name_id")).where("false")
+    if out is None:
+        return texts.select("text_id", F.lit(None).cast(ntype).alias("name_id")).where("false")
+    return out.distinct()

@@ -165,7 +165,7 @@ def range_roots(chunked: DataFrame) -> DataFrame:
 
 def covering(chunked: DataFrame, requests: DataFrame, size: int) -> DataFrame:
     """The chunks that a byte range (file_id, first_byte, n_bytes) needs."""
-    r = requests.select("file_id", "first_byte", "n_bytes", F.explode(F.sequence(F.floor(F.col("first_byte") / size), F.floor((F.col("first_byte") + F.col("n_bytes") - 1) / size))).cast("int").alias("chunk"))
+    r = requests.select("file_id", "first_byte", "n_bytes", F.explode(F.sequence(F.floor(F.col("first_byte") / size).cast("int"), F.floor((F.col("first_byte") + F.col("n_bytes") - 1) / size).cast("int"))).alias("chunk"))
     return r.join(chunked, ["file_id", "chunk"])
 
 

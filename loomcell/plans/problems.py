@@ -63,4 +63,23 @@ def p7_differences(spark: SparkSession, d: str) -> DataFrame:
     return _difference(spark, d)
 
 
+ORACLE = {
+    "p1_found": r"""WITH c AS (SELECT * FROM cells QUALIFY row_number() OVER (PARTITION BY entity_id, field_id ORDER BY updated_at DESC) = 1),
+f AS (SELECT DISTINCT id, value_type FROM fields),
+-- what is no JSON by RFC 8259, though json_valid takes it: words, trailing commas
+j AS (SELECT entity_id, field_id, value_type, value_json AS v, json_valid(value_json) AND NOT regexp_matches(regexp_replace(value_json, '"([^"\\\\]|\\\\.)*"', '""', 'g'), ',\s*[\]}]|[A-DF-Zb-dg-kmo-qv-z]') AS ok FROM c JOIN f ON f.id = c.field_id),
+k AS (SELECT *, CASE WHEN ok THEN json_type(v) END AS t, trim(CASE WHEN ok AND json_type(v) = 'VARCHAR' THEN json_extract_string(v, '$') ELSE v END, ' ') AS x FROM j),
+n AS (SELECT *, regexp_full_match(x, '-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?') AS num, lower(x) IN ('true', 'false') AS truth FROM k)
+SELECT entity_id, field_id FROM n WHERE NOT CASE WHEN v IS NULL OR NOT ok THEN false WHEN t = 'NULL' OR value_type = 'json' THEN true
+WHEN value_type = 'text' THEN t NOT IN ('ARRAY', 'OBJECT') WHEN value_type = 'array' THEN t = 'ARRAY' WHEN value_type = 'object' THEN t = 'OBJECT'
+WHEN value_type = 'boolean' THEN truth AND t IN ('BOOLEAN', 'VARCHAR') WHEN t IN ('ARRAY', 'OBJECT', 'BOOLEAN') THEN false WHEN value_type = 'number' THEN num
+ELSE num AND TRY_CAST(x AS DECIMAL(38, 10)) = floor(TRY_CAST(x AS DECIMAL(38, 10))) AND TRY_CAST(x AS DECIMAL(38, 10)) BETWEEN -9223372036854775808 AND 9223372036854775807 END""".replace("\\\\", "\\"),
+    "p4_found": """WITH x AS (SELECT field_id, created_at, arg_max(id, id) AS id, arg_max(to_status, id) AS st FROM field_events WHERE to_status IS NOT NULL GROUP BY 1, 2),
+y AS (SELECT *, lag(st) OVER (PARTITION BY field_id ORDER BY created_at) AS p FROM x), z AS (SELECT * FROM y WHERE p IS DISTINCT FROM st)
+SELECT field_id, id AS opened_by, coalesce(lead(id) OVER (PARTITION BY field_id ORDER BY created_at), 0) AS closed_by FROM z""",
+    "p4_history": """WITH x AS (SELECT field_id, created_at, arg_max(id, id) AS id, arg_max(to_status, id) AS st FROM field_events WHERE to_status IS NOT NULL GROUP BY 1, 2),
+y AS (SELECT *, lag(st) OVER (PARTITION BY field_id ORDER BY created_at) AS p FROM x), z AS (SELECT * FROM y WHERE p IS DISTINCT FROM st)
+SELECT field_id, st AS to_status, id AS opened_by, lead(id) OVER w AS closed_by, created_at AS opened_at, lead(created_at) OVER w AS closed_at FROM z WINDOW w AS (PARTITION BY field_id ORDER BY created_at)""",
+}
+
 QUERIES = {f.__name__: f for f in (p1_found, p1_wide, p1_states, p2_found, p2_nodes, p4_found, p4_history, p7_found, p7_differences)}
