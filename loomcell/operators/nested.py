@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from loomcell.functions import jsontext as J
 from loomcell.runtime import ship
 
-#: pre, post, level, kind, is an array's element, name or index, pointer, scalar's canonical text
-Node = tuple[int, int, int, str, bool, str, str, str | None]
+#: pre, post, level, kind, is an array's element, name or index, parent's position, scalar's canonical text
+Node = tuple[int, int, int, str, bool, str, int, str | None]
 
 
 def _kind(x: Any) -> str:
@@ -36,27 +36,37 @@ def label(value: Any) -> list[Node]:
     """All nodes of a parsed value in pre-order, labelled; iterative."""
     nodes: list[list] = []
     post = 0
-    todo: list[tuple] = [(value, 0, False, "", "")]
+    todo: list[tuple] = [(value, 0, False, "", -1)]
     while todo:
         item = todo.pop()
         if len(item) == 1:  # all below it is done
             nodes[item[0]][1] = post
             post += 1
             continue
-        x, level, element, name, path = item
+        x, level, element, name, parent = item
         kind = _kind(x)
         at = len(nodes)
-        nodes.append([at, -1, level, kind, element, name, path, None if kind in ("object", "array") else J.canonical(x)])
+        nodes.append([at, -1, level, kind, element, name, parent, None if kind in ("object", "array") else J.canonical(x)])
         todo.append((at,))
         if kind == "object":
             for k in reversed(list(x)):
-                todo.append((x[k], level + 1, False, k, f"{path}/{k.replace('~', '~0').replace('/', '~1')}"))
+                todo.append((x[k], level + 1, False, k, at))
         elif kind == "array":
             for i in range(len(x) - 1, -1, -1):
-                todo.append((x[i], level + 1, True, str(i), f"{path}/{i}"))
+                todo.append((x[i], level + 1, True, str(i), at))
     return [tuple(n) for n in nodes]  # type: ignore[misc]
 
 
+def pointer(nodes: list[Node], at: int) -> str:
+    """JSON pointer of a node, made only where it is wanted: those of all nodes of
+    a deep value together are longer than the value by its depth."""
+    parts = []
+    while at > 0:
+        parts.append(nodes[at][5].replace("~", "~0").replace("/", "~1"))
+        at = nodes[at][6]
+    return "".join("/" + p for p in reversed(parts))
+
+
 def enclosing(nodes: list[Node], among: Callable[[Node], bool]) -> list[int]:
     """For each node the position of the innermost node among the chosen that
     encloses it by its interval, -1 if none; nodes in pre-order."""
@@ -119,7 +129,7 @@ def node_rows(records: DataFrame) -> DataFrame:
     def rows_of(text: str) -> Iterator[tuple]:
         nodes = _nodes_of(text)
         for n, p in zip(nodes, enclosing(nodes, lambda n: n[3] in ("object", "array")), strict=True):
-            yield (*n[:5], J.safe(n[5]), J.safe(n[6]), None if n[7] is None else J.safe(n[7]), p)
+            yield (*n[:5], J.safe(n[5]), J.safe(pointer(nodes, n[0])), None if n[7] is None else J.safe(n[7]), p)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _emit(batches, rows_of, names, types)
@@ -139,7 +149,7 @@ def array_objects(records: DataFrame) -> DataFrame:
         around = enclosing(nodes, _is_case)
         for n, p in zip(nodes, around, strict=True):
             if _is_case(n):
-                yield J.safe(n[6]), J.safe(nodes[p][6]) if p >= 0 else ""
+                yield J.safe(pointer(nodes, n[0])), J.safe(pointer(nodes, p)) if p >= 0 else ""
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _emit(batches, rows_of, ["source_table", "record_id", "node_path", "parent_path"], [s, s, s, s])

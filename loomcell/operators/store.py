@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomcell.functions import scalars as S
-from loomcell.runtime import latest, lookup_join
+from loomcell.runtime import HOT_ROWS, has_hot_key, latest, lookup_join, spread_previous
 
 ENTITY = ["kind", "label", "created_at"]
 FIELD = ["key", "label", "value_type", "description", "status", "created_at", "namespace", "normalized_key"]
@@ -80,19 +80,26 @@ def new_fields(batch: DataFrame, registry: DataFrame) -> tuple[DataFrame, DataFr
     return j.where("reason is null").drop("reason"), j.where("reason is not null")
 
 
-def audit_transitions(events: DataFrame, key: str, at: list[str], status: str, allowed: list[tuple[str, str]]) -> DataFrame:
-    """Consecutive statuses of a key against a table of allowed moves."""
-    w = Window.partitionBy(key).orderBy(*at)
-    e = events.withColumn("previous", F.lag(status).over(w)).where("previous is not null")
+def audit_transitions(events: DataFrame, key: str, at: list[str], status: str, allowed: list[tuple[str, str]], hot: int = HOT_ROWS) -> DataFrame:
+    """Consecutive statuses of a key, in the total order `at`, against a table of
+    allowed moves; a key with more than `hot` rows is spread over tasks."""
+    if has_hot_key(events, key, hot):
+        e = spread_previous(events, key, at, status).withColumnRenamed("prev", "previous").drop("nth")
+    else:
+        e = events.withColumn("previous", F.lag(status).over(Window.partitionBy(key).orderBy(*at)))
     moves = F.array(*[F.lit(f"{a}>{b}") for a, b in allowed])
-    return e.withColumn("legal", F.array_contains(moves, F.concat_ws(">", "previous", status)))
+    return e.where("previous is not null").withColumn("legal", F.array_contains(moves, F.concat_ws(">", "previous", status)))
 
 
-def next_ordinals(batch: DataFrame, existing: DataFrame, key: str, order: list[str], ordinal: str) -> DataFrame:
-    """Number a batch's rows per key, from one past the greatest used (0 if none)."""
+def next_ordinals(batch: DataFrame, existing: DataFrame, key: str, order: list[str], ordinal: str, hot: int = HOT_ROWS) -> DataFrame:
+    """Number a batch's rows per key in a total order, from one past the greatest
+    used (0 if none); a key with more than `hot` rows is spread over tasks."""
     top = existing.groupBy(key).agg(F.max(ordinal).alias("__top"))
-    r = F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1
-    return batch.withColumn("__r", r).join(top, key, "left").withColumn(ordinal, F.coalesce(F.col("__top") + 1, F.lit(0)) + F.col("__r")).drop("__r", "__top")
+    if has_hot_key(batch, key, hot):
+        numbered = spread_previous(batch, key, order, order[0]).withColumnRenamed("nth", "__r").drop("prev")
+    else:
+        numbered = batch.withColumn("__r", F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1)
+    return numbered.join(top, key, "left").withColumn(ordinal, F.coalesce(F.col("__top") + 1, F.lit(0)) + F.col("__r")).drop("__r", "__top")
 
 
 def resolve(refs: DataFrame, f: DataFrame, aliases: DataFrame) -> DataFrame:

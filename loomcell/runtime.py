@@ -9,7 +9,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A lookup side is broadcast only when it has at most this many rows.
@@ -121,5 +121,28 @@ def latest(df: DataFrame, keys: list[str], order: list[str], values: list[str])
     return df.groupBy(*keys).agg(picked).select(*keys, *[F.col(f"__top.{c}").alias(c) for c in [*order, *values]])
 
 
-def jvm_parts(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+#: A key with more rows isn't given to one task of a window.
+HOT_ROWS = 1_000_000
+
+
+def has_hot_key(df: DataFrame, key: str, rows: int = HOT_ROWS) -> bool:
+    """Whether some key has more rows than that; counts are pre-aggregated."""
+    return not df.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > rows).limit(1).isEmpty()
+
+
+def spread_previous(df: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
+    """Add `prev` (the value of the key's row before, in a total order) and `nth`
+    (0-based number within the key), whatever the size of a key.
+
+    Rows are cut into ranges along (key, order), so a key with a third of all rows
+    spans many tasks; only one row per key and range meets in one task, to hand the
+    last value and the count over to the next range."""
+    parts = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    r = spool(df.repartitionByRange(parts, key, *order).withColumn("__p", F.spark_partition_id()))
+    w = Window.partitionBy(key, "__p").orderBy(*order)
+    own = r.withColumn("__prev", F.lag(value).over(w)).withColumn("__i", F.row_number().over(w) - 1)
+    ends = r.groupBy(key, "__p").agg(F.count("*").alias("__n"), F.max(F.struct(*order, F.col(value).alias("__v"))).alias("__l"))
+    v = Window.partitionBy(key).orderBy("__p")
+    ends = ends.select(key, "__p", F.lag("__l.__v").over(v).alias("__carry"), F.coalesce(F.sum("__n").over(v.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    j = own.join(ends, [key, "__p"])
+    return j.withColumn("prev", F.when(F.col("__i") == 0, F.col("__carry")).otherwise(F.col("__prev"))).withColumn("nth", (F.col("__i") + F.col("__before")).cast("int")).drop("__p", "__prev", "__i", "__carry", "__before")
