@@ -10,6 +10,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from loomcell.runtime import lookup_join, ship, spool
 
@@ -165,6 +166,7 @@ def text_mentions(texts: DataFrame, names: DataFrame) -> DataFrame:
     be of any length. A null or empty name stands nowhere."""
     ship(texts.sparkSession)
     ttype, ntype = dict(texts.dtypes)["text_id"], dict(names.dtypes)["name_id"]
+    narrow = to_arrow_type(names.schema["name_id"].dataType)
     sc = texts.sparkSession.sparkContext
     out = None
 
@@ -180,7 +182,7 @@ def text_mentions(texts: DataFrame, names: DataFrame) -> DataFrame:
             for b in batches:
                 hits = [(k, i) for k, t in enumerate(b.column(1).to_pylist()) if t for _, ids in {v[0]: v for _, v in a.iter(t)}.values() for i in ids]
                 if hits:
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([k for k, _ in hits])), pa.array([i for _, i in hits])], ["text_id", "name_id"])
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([k for k, _ in hits])), pa.array([i for _, i in hits], narrow)], ["text_id", "name_id"])
 
         return texts.select("text_id", "text").mapInArrow(run, f"text_id {ttype}, name_id {ntype}")
 
