@@ -24,6 +24,7 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from loomcell.runtime import ship, spool
 
@@ -287,6 +288,7 @@ def leaked_runs(documents: DataFrame, key: str, text: str, items: DataFrame, ite
     q = unit_rows(items, item_key, item_text).where(F.size("u") >= run).distinct()
     model = docs.sparkSession.sparkContext.broadcast((idf, basis))
     dtype, itype = dict(documents.dtypes)[key], dict(items.dtypes)[item_key]
+    iarrow = to_arrow_type(items.schema[item_key].dataType)
 
     def make(block):
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,7 +314,7 @@ def leaked_runs(documents: DataFrame, key: str, text: str, items: DataFrame, ite
                     if not own.isdisjoint(item_runs[it]):
                         hits.append((d, it))
                 if hits:
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([d for d, _ in hits])), pa.array([ids[it] for _, it in hits])], ["doc", "item"])
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([d for d, _ in hits])), pa.array([ids[it] for _, it in hits], iarrow)], ["doc", "item"])
 
         return scan
 
@@ -351,6 +353,7 @@ def paraphrases(documents: DataFrame, key: str, text: str, items: DataFrame, ite
     q = unit_rows(items, item_key, item_text).where(F.size("u") > 0).distinct()
     model = docs.sparkSession.sparkContext.broadcast((idf, basis))
     dtype, itype = dict(documents.dtypes)[key], dict(items.dtypes)[item_key]
+    iarrow = to_arrow_type(items.schema[item_key].dataType)
 
     def make(block):
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -378,7 +381,7 @@ def paraphrases(documents: DataFrame, key: str, text: str, items: DataFrame, ite
                             v[:] = [max(v[0], round(float(cos[p, w]), 6)), max(v[1], order), max(v[2], answer)]
                 if best:
                     k = list(best)
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([d for d, _ in k])), pa.array([ids[it] for _, it in k]), *(pa.array([best[x][j] for x in k]) for j in range(3))], ["doc", "item", "cosine", "in_order", "answer"])
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([d for d, _ in k])), pa.array([ids[it] for _, it in k], iarrow), *(pa.array([best[x][j] for x in k]) for j in range(3))], ["doc", "item", "cosine", "in_order", "answer"])
 
         return scan
 

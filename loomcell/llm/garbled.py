@@ -268,6 +268,7 @@ def _automaton_spans(text: str, double: bool) -> list[Span]:
         else:
             chains.append([(start, end + 1, ms)])
     spans: list[Span] = []
+    doubtful: list[tuple[int, int, tuple[Meaning, ...]]] = []
     for chain in chains:
         count: dict[str, int] = {}
         proof: set[str] = set()
@@ -280,6 +281,7 @@ def _automaton_spans(text: str, double: bool) -> list[Span]:
         good = [p for p in count if p in proof or count[p] >= need[p]]
         good = [p for p in good if need[p] != _RUN_AS_DOUBLE or _odd_han(text[chain[0][0] : chain[-1][1]])]
         if not good:
+            doubtful += chain
             continue
         best = max(good, key=lambda p: (count[p], p in proof))  # the first listed at a tie
         writer, _, reader = best.partition(">")
@@ -293,6 +295,14 @@ def _automaton_spans(text: str, double: bool) -> list[Span]:
             for pair, c, _, _ in ms:
                 if pair == best:
                     spans.append((a, b, best, c))
+    # what proves nothing alone is garbled where its line is proven to be, by the same pair
+    lines = {(s[2], text.count("\n", 0, s[0])) for s in spans}
+    for a, b, ms in doubtful if lines else ():
+        line = text.count("\n", 0, a)
+        for pair, c, _, need in ms:
+            if need == _RUN_WEAK and (pair, line) in lines:
+                spans.append((a, b, pair, c))
+                break
     return spans
 
 
@@ -311,6 +321,8 @@ def spans(text: str) -> list[Span]:
         if chars.isdisjoint(gate):
             continue
         for m in rx.finditer(text):
+            if len(m.group()) == 1 and inv[m.group()].isupper() and text[m.start() - 1 : m.start()].islower():
+                continue  # a capital within a word: another pair's
             if not any(taken[m.start() : m.end()]):
                 found.append((m.start(), m.end(), pair, "".join(inv.get(c, c) for c in m.group())))
                 taken[m.start() : m.end()] = [True] * (m.end() - m.start())

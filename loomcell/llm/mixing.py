@@ -135,6 +135,6 @@ def report(used: DataFrame, plan: DataFrame) -> DataFrame:
     got = used.groupBy("source").agg(F.sum(F.col("tokens") * F.col("n_uses")).alias("mixed_tokens"), F.max("n_uses").alias("most_uses"))
     every = Window.partitionBy(F.lit(1))  # one row per source
     r = plan.join(got, "source", "left").select("source", "target_share", "max_repeats", "available_tokens", "n_documents", F.coalesce("mixed_tokens", F.lit(0)).alias("mixed_tokens"), F.coalesce("most_uses", F.lit(0)).alias("most_uses"), "total", "weight")
-    r = r.withColumn("actual_share", F.coalesce(F.col("mixed_tokens") / F.sum("mixed_tokens").over(every), F.lit(0.0)))
-    reached = F.col("mixed_tokens") / F.col("total")
+    r = r.withColumn("actual_share", F.coalesce(F.try_divide(F.col("mixed_tokens"), F.sum("mixed_tokens").over(every)), F.lit(0.0)))
+    reached = F.try_divide(F.col("mixed_tokens").cast("double"), F.col("total"))
     return r.withColumn("met", F.coalesce(reached >= F.col("weight") - 0.01, F.lit(False))).drop("total", "weight")
