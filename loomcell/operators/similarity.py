@@ -7,6 +7,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -22,7 +23,7 @@ STOPWORDS = "a an and as at by for from in of on or the to with".split()
 WEIGHTS = {"key": 0.45, "label": 0.30, "description": 0.10, "type": 0.10, "namespace": 0.05}
 CHAR_FACTOR, TYPE_PENALTY = 0.85, 0.60
 
-_TOKEN = re.compile(r"[a-z0-9]+|[一-鿿]+")
+_TOKEN = re.compile(r"[a-z0-9]+|[㐀-鿿]+")
 
 
 def _plain(s: str | None) -> str:
@@ -44,6 +45,11 @@ def name_tokens(s: pd.Series) -> pd.Series:
     return s.map(tokens)
 
 
+@pandas_udf(T.StringType())
+def _compacted(s: pd.Series) -> pd.Series:
+    return s.map(compact)
+
+
 def ascii_tokens(c: Column) -> Column:
     """tokens() of ASCII texts without leaving the JVM, sorted."""
     found = F.regexp_extract_all(F.regexp_replace(F.lower(c), r"[_\-/.]", " "), F.lit("([a-z0-9]+)"), 1)
@@ -51,25 +57,52 @@ def ascii_tokens(c: Column) -> Column:
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    """Of two token sets; 0 where both are empty."""
+    """Of two token sets; 1 where both are empty."""
     n = F.size(F.array_union(a, b))
-    return F.when(n > 0, F.size(F.array_intersect(a, b)) / n).otherwise(0.0)
+    return F.when(n > 0, F.size(F.array_intersect(a, b)) / n).otherwise(1.0)
 
 
 def char_ratio(a: str, b: str) -> float:
-    return SequenceMatcher(None, a, b, autojunk=False).ratio() if a or b else 0.0
+    """Share of matching characters; texts both empty are equal."""
+    return SequenceMatcher(None, a, b, autojunk=False).ratio() if a and b else float(a == b)
+
+
+@lru_cache(100_000)
+def _parts(s: str | None) -> tuple[frozenset[str], str]:
+    return frozenset(tokens(s)), compact(s)
+
+
+def _token_score(a: str | None, b: str | None) -> float:
+    x, y = _parts(a)[0], _parts(b)[0]
+    return len(x & y) / len(x | y) if x | y else 1.0
 
 
 def _text_score(a: str | None, b: str | None) -> float:
-    x, y = set(tokens(a)), set(tokens(b))
-    j = len(x & y) / len(x | y) if x | y else 0.0
-    return max(j, CHAR_FACTOR * char_ratio(compact(a), compact(b)))
+    return max(_token_score(a, b), CHAR_FACTOR * char_ratio(_parts(a)[1], _parts(b)[1]))
+
+
+def _text_bound(a: str | None, b: str | None) -> float:
+    """At least _text_score: the ratio can't exceed the share of common characters."""
+    x, y = _parts(a)[1], _parts(b)[1]
+    return max(_token_score(a, b), CHAR_FACTOR * (SequenceMatcher(None, x, y, autojunk=False).quick_ratio() if x and y else float(x == y)))
+
+
+def _same(left: dict, right: dict, name: str) -> bool:
+    return unicodedata.normalize("NFKC", left[name] or "").strip().lower() == unicodedata.normalize("NFKC", right[name] or "").strip().lower()
+
+
+def can_reach(left: dict, right: dict, threshold: float) -> bool:
+    """Whether the score may be that high, without the costly ratio."""
+    same = _same(left, right, "value_type")
+    rest = WEIGHTS["type"] * same + WEIGHTS["namespace"] * _same(left, right, "namespace")
+    bound = rest + sum(WEIGHTS[k] * _text_bound(left[k], right[k]) for k in ("key", "label", "description"))
+    return bound * (1 if same else TYPE_PENALTY) >= threshold - 1e-6
 
 
 def pair_score(left: dict, right: dict) -> dict:
     """Signals and score of two fields, left first; rounded to 6 places."""
     sig = {k: _text_score(left[k], right[k]) for k in ("key", "label", "description")}
-    sig |= {"type": float(left["value_type"] == right["value_type"]), "namespace": float(left["namespace"] == right["namespace"])}
+    sig |= {"type": float(_same(left, right, "value_type")), "namespace": float(_same(left, right, "namespace"))}
     score = sum(WEIGHTS[k] * v for k, v in sig.items()) * (1 if sig["type"] else TYPE_PENALTY)
     return {k: round(v, 6) for k, v in sig.items()} | {"score": round(min(1.0, max(0.0, score)), 6)}
 
@@ -78,9 +111,10 @@ _ATTRS = ["key", "label", "description", "value_type", "namespace"]
 _SIGNALS = ["key", "label", "description", "type", "namespace", "score"]
 
 
-def score_pairs(pairs: DataFrame, f: DataFrame) -> DataFrame:
+def score_pairs(pairs: DataFrame, f: DataFrame, threshold: float | None = None) -> DataFrame:
     """pairs (left_id, right_id) with s_key, s_label, s_description, s_type,
-    s_namespace and score. Null texts are empty texts."""
+    s_namespace and score. Null texts are empty texts. With a threshold only pairs
+    at or above it; most others fall by a bound before the costly part."""
     ship(f.sparkSession)
     side = lambda p: f.select(F.col("id").alias(f"{p}_id"), *[F.col(a).alias(f"{p}_{a}") for a in _ATTRS])
     j = pairs.select("left_id", "right_id").join(side("left"), "left_id").join(side("right"), "right_id")
@@ -89,8 +123,15 @@ def score_pairs(pairs: DataFrame, f: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = list(zip(*(c.to_pylist() for c in b.columns[2:]), strict=True))
-            made = [pair_score(dict(zip(_ATTRS, r[:5], strict=True)), dict(zip(_ATTRS, r[5:], strict=True))) for r in rows]
-            yield pa.RecordBatch.from_arrays([*b.columns[:2], *(pa.array([m[s] for m in made], pa.float64()) for s in _SIGNALS)], ["left_id", "right_id", *(f"s_{s}" if s != "score" else s for s in _SIGNALS)])
+            sides = [(dict(zip(_ATTRS, r[:5], strict=True)), dict(zip(_ATTRS, r[5:], strict=True))) for r in rows]
+            if threshold is None:
+                keep, made = None, [pair_score(*x) for x in sides]
+            else:
+                scored = [(i, pair_score(*x)) for i, x in enumerate(sides) if can_reach(*x, threshold)]
+                scored = [(i, m) for i, m in scored if m["score"] >= threshold]
+                keep, made = pa.array([i for i, _ in scored], pa.int64()), [m for _, m in scored]
+            ids = b.columns[:2] if keep is None else [c.take(keep) for c in b.columns[:2]]
+            yield pa.RecordBatch.from_arrays([*ids, *(pa.array([m[s] for m in made], pa.float64()) for s in _SIGNALS)], ["left_id", "right_id", *(f"s_{s}" if s != "score" else s for s in _SIGNALS)])
 
     return j.mapInArrow(run, "left_id string, right_id string, " + ", ".join(f"{'s_' * (s != 'score')}{s} double" for s in _SIGNALS))
 
@@ -136,11 +177,12 @@ def rare_token_pairs(df: DataFrame, key: str, toks: str, cap: int) -> DataFrame:
     return r.select(F.col("id").alias("source"), "t").join(r.select(F.col("id").alias("candidate"), "t"), "t").where("source <> candidate").select("source", "candidate").distinct()
 
 
-def scan(f: DataFrame, threshold: float = 0.72, most: int = 12, excluded: tuple[str, ...] = ("merged", "split", "deprecated"), limit_sources: int | None = None) -> DataFrame:
+def scan(f: DataFrame, threshold: float = 0.72, most: int = 12, excluded: tuple[str, ...] = ("merged", "split", "deprecated"), limit_sources: int | None = None, namespace: str | None = None) -> DataFrame:
     """Similar pairs of a registry: neighbours in name order or sharers of rare
     tokens, the nearest `most` per source by shared tokens, type and spelling, then
     scored with the smaller id left; pairs at or above the threshold."""
-    e = spool(f.where(~F.col("status").isin(*excluded)).withColumn("toks", name_tokens("key")).withColumn("cmp", F.array_join("toks", "")))
+    f = f.where(F.col("namespace") == namespace) if namespace else f
+    e = spool(f.where(~F.col("status").isin(*excluded)).withColumn("toks", name_tokens(F.concat_ws(" ", "key", "label"))).withColumn("cmp", _compacted("key")))
     n = e.count()
     near = neighbour_pairs(e, "id", ["normalized_key", "key", "id"], most)
     d = near.unionByName(rare_token_pairs(e, "id", "toks", rare_cap(n))).distinct()
@@ -149,20 +191,23 @@ def scan(f: DataFrame, threshold: float = 0.72, most: int = 12, excluded: tuple[
     s = d.join(e.select(F.col("id").alias("source"), F.col("toks").alias("t1"), F.col("value_type").alias("v1"), F.col("cmp").alias("c1")), "source")
     s = s.join(e.select(F.col("id").alias("candidate"), F.col("toks").alias("t2"), F.col("value_type").alias("v2"), F.col("cmp").alias("c2")), "candidate")
     ratio = pandas_udf(lambda a, b: pd.Series([char_ratio(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype=float), T.DoubleType())
-    shared = F.size(F.array_intersect("t1", "t2")) + (F.substring("c1", 1, 4) == F.substring("c2", 1, 4)).cast("int")
-    s = s.select("source", "candidate", shared.alias("shared"), (F.col("v1") == F.col("v2")).alias("same"), ratio("c1", "c2").alias("ratio"))
+    shared = F.size(F.array_intersect("t1", "t2")) + ((F.substring("c1", 1, 4) == F.substring("c2", 1, 4)) & (F.col("c1") != "")).cast("int")
+    s = s.select("source", "candidate", shared.alias("shared"), (F.col("v1") == F.col("v2")).alias("same"), "c1", "c2")
+    # spelling decides among equals only: those surely behind the first `most` need no ratio
+    s = s.withColumn("r0", F.rank().over(Window.partitionBy("source").orderBy(F.desc("shared"), F.desc("same")))).where(F.col("r0") <= most)
+    s = s.select("source", "candidate", "shared", "same", ratio("c1", "c2").alias("ratio"))
     w = Window.partitionBy("source").orderBy(F.desc("shared"), F.desc("same"), F.desc("ratio"), F.desc("candidate"))
     top = s.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most)
     pairs = top.select(F.least("source", "candidate").alias("left_id"), F.greatest("source", "candidate").alias("right_id")).distinct()
-    return score_pairs(pairs, e).where(F.col("score") >= threshold)
+    return score_pairs(pairs, e, threshold)
 
 
 def score_against(f: DataFrame, proposal: dict, top_k: int = 10, most: int = 1000) -> DataFrame:
     """A proposal against the registry: the nearest `most` by shared tokens, then
     the best top_k by score, proposal left."""
-    toks = tokens(proposal["key"])
-    e = f.withColumn("shared", F.size(F.array_intersect(name_tokens("key"), F.array(*map(F.lit, toks)).cast("array<string>"))))
-    near = e.orderBy(F.desc("shared"), F.desc(F.col("value_type") == proposal["value_type"]), F.desc("id")).limit(max(top_k, min(most, 10_000)))
+    toks = tokens(f"{proposal['key']} {proposal['label']}")
+    e = f.withColumn("shared", F.size(F.array_intersect(name_tokens(F.concat_ws(" ", "key", "label")), F.array(*map(F.lit, toks)).cast("array<string>"))))
+    near = e.orderBy(F.desc("shared"), (F.col("value_type") == proposal["value_type"]).desc(), F.desc("id")).limit(max(top_k, min(most, 10_000)))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in frames:

@@ -49,7 +49,7 @@ def e06_block_pairs(s, d):
 
 
 @query(f"""WITH {FL}, k AS (SELECT id, {_TOKS.format('key')} AS toks FROM f), {_CUR_CAND}
-SELECT DISTINCT source_ref, candidate_field_id, CASE WHEN len(a.toks) + len(b.toks) = 0 THEN 0.0 ELSE round(len(list_intersect(a.toks, b.toks)) / len(list_distinct(list_concat(a.toks, b.toks))), 6) END AS jaccard
+SELECT DISTINCT source_ref, candidate_field_id, CASE WHEN len(a.toks) + len(b.toks) = 0 THEN 1.0 ELSE round(len(list_intersect(a.toks, b.toks)) / len(list_distinct(list_concat(a.toks, b.toks))), 6) END AS jaccard
 FROM x JOIN k a ON a.id = source_ref JOIN k b ON b.id = candidate_field_id""")
 def e01_token_score(s, d):
     k = F_(s, d).select("id", similarity.ascii_tokens(F.col("key")).alias("toks"))
@@ -69,6 +69,12 @@ def e06_scan(s, d):
     return similarity.scan(F_(s, d))
 
 
+@query()
+def e05_score_proposal(s, d):
+    p = load(s, d, "field_proposals").orderBy("created_at", "id").select("key", "label", "description", "value_type", "namespace").limit(1).first().asDict()
+    return similarity.score_against(F_(s, d), p, 20)
+
+
 @query()
 def e09_families(s, d):
     f = F_(s, d)

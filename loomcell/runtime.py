@@ -95,15 +95,16 @@ def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
 
 
 def lookup_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner", spread: Column | None = None,
-                rows: int = BROADCAST_ROWS) -> DataFrame:
+                rows: int = BROADCAST_ROWS, n_small: int | None = None) -> DataFrame:
     """Join on one key of which ``big`` may hold a third of its rows.
 
     ``small`` (unique on key) is broadcast if its counted rows are under the
     bound; otherwise both sides are shuffled on (key, salt): ``big`` by the hash
     of ``spread``, ``small`` copied SALTS times, so no task gets a whole hot key.
-    how: inner, left, left_semi or left_anti. A null key matches nothing.
+    how: inner, left, left_semi or left_anti. A null key matches nothing. n_small:
+    the small side's count, where it is known already.
     """
-    if is_small(small, rows):
+    if n_small <= rows if n_small is not None else is_small(small, rows):
         return big.join(F.broadcast(small), key, how)
     salt = "__salt"
     left = big.withColumn(salt, F.pmod(F.xxhash64(spread if spread is not None else F.monotonically_increasing_id()), F.lit(SALTS)).cast("int"))

@@ -97,7 +97,18 @@ def test_a_chain_is_no_family(spark):
     score = similarity.pair_score
     rows = [{"key": k, "label": k, "description": "", "value_type": "text", "namespace": "n"} for k in ("a b c d", "c d e f", "e f g h")]
     assert score(rows[0], rows[2])["score"] < score(rows[0], rows[1])["score"] < 1
-    assert score(rows[0], rows[0])["score"] == pytest.approx(0.9 + 0.0, abs=0.11)
+    assert score(rows[0], rows[0])["score"] == 1
+
+
+def test_the_bound_never_hides_a_pair():
+    import random
+
+    random.seed(4)
+    mk = lambda: {"key": "_".join(random.choices(["author", "name", "count", "año", "a"], k=2)), "label": random.choice(["Author", "", None, "Name x"]), "description": random.choice(["", None, "words here"]), "value_type": random.choice(["text", "Text ", "number"]), "namespace": random.choice(["n", "m"])}
+    for _ in range(300):
+        a, b = mk(), mk()
+        score = similarity.pair_score(a, b)["score"]
+        assert similarity.can_reach(a, b, score)
 
 
 def test_rare_token_blocks_are_bounded(spark):
