@@ -36,7 +36,7 @@ PASSAGE, RUN = 8, 16
 BLOCK = 60_000
 #: Least cosine of a copy's passage (1 but for rounding).
 SAME = 0.999
-_BITS, _NEAR_ZERO = 14, 1e-4
+_BITS, _NEAR_ZERO = 28, 1e-7
 
 _ASCII = re.compile(r"[a-z0-9]+")
 
@@ -64,11 +64,24 @@ def units(text: str) -> list[str]:
     return _pattern().findall(unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text).translate(_UNSEEN).casefold()))
 
 
+class _Hashes(dict):
+    """Hashes of the units seen, forgotten as a whole when they are many."""
+
+    def __missing__(self, unit: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        self[unit] = h = xxhash.xxh3_64_intdigest(unit)
+        return h
+
+
+_HASHES = _Hashes()
+
+
 def hashed(text: str | None) -> np.ndarray:
     """The units as 64-bit hashes."""
     if not text:
         return np.empty(0, np.int64)
-    return np.fromiter((xxhash.xxh3_64_intdigest(u) for u in units(text)), np.uint64).view(np.int64)
+    return np.array([_HASHES[u] for u in units(text)], np.uint64).view(np.int64)
 
 
 def unit_rows(df: DataFrame, key: str, text: str) -> DataFrame:
