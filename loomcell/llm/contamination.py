@@ -36,7 +36,7 @@ PASSAGE, RUN = 8, 16
 BLOCK = 60_000
 #: Least cosine of a copy's passage (1 but for rounding).
 SAME = 0.999
-_BITS, _NEAR_ZERO = 28, 1e-7
+_BITS, _EDGE, _SLACK = 28, 1e-7, 1e-9
 
 _ASCII = re.compile(r"[a-z0-9]+")
 
@@ -226,16 +226,18 @@ def _unit_length(x: np.ndarray) -> np.ndarray:
 
 
 def _codes(x: np.ndarray) -> np.ndarray:
-    return ((x[:, :_BITS] > 0) @ (1 << np.arange(_BITS))).astype(np.int64)
+    """A bit per dimension: above the edge or not. The edge lies off zero, where
+    dimensions that a small corpus doesn't fill put all their rounding noise."""
+    return ((x[:, :_BITS] > _EDGE) @ (1 << np.arange(_BITS))).astype(np.int64)
 
 
 class _Index:
     """An item block's latent passages in buckets by the signs of their first
-    dimensions; a value near zero stands in the buckets of both signs, so a vector
-    equal but for rounding always looks where it is found."""
+    dimensions; a value within rounding of the edge stands in both buckets, so a
+    vector equal but for rounding always looks where it is found."""
 
     def __init__(self, vectors: np.ndarray, items: np.ndarray) -> None:
-        near = np.abs(vectors[:, :_BITS]) < _NEAR_ZERO
+        near = np.abs(vectors[:, :_BITS] - _EDGE) < _SLACK
         codes, at = _codes(vectors), np.arange(len(vectors))
         for d in range(_BITS):
             both = near[at, d]
