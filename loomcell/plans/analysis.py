@@ -139,48 +139,50 @@ def d02_decisions(s, d):
 # ---- snapshot plans
 
 
-_SRC = "src AS (SELECT 'o:' || o_orderkey AS id, o_orderstatus AS kind, o_orderpriority AS label, o_totalprice AS v FROM orders WHERE o_orderkey % 11 <> 0), sto AS (SELECT 'o:' || o_orderkey AS id, o_orderstatus AS kind, CASE WHEN o_orderkey % 13 = 0 THEN 'x' ELSE o_orderpriority END AS label, CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE o_totalprice + CASE WHEN o_orderkey % 19 = 0 THEN 1 ELSE 0 END END AS v FROM orders WHERE o_orderkey % 7 <> 0)"
+_AB = """a AS (SELECT * FROM snapshot_records QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY observed_at DESC) = 1),
+b AS (SELECT * FROM store_records QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY observed_at DESC) = 1)"""
 
 
-def _two_slices(s: SparkSession, d: str):
-    o = load(s, d, "orders").withColumn("id", F.concat(F.lit("o:"), F.col("o_orderkey").cast("string")))
-    k = F.col("o_orderkey")
-    src = o.where(k % 11 != 0).select("id", F.col("o_orderstatus").alias("kind"), F.col("o_orderpriority").alias("label"), F.col("o_totalprice").alias("v"))
-    sto = o.where(k % 7 != 0).select("id", F.col("o_orderstatus").alias("kind"), F.when(k % 13 == 0, "x").otherwise(F.col("o_orderpriority")).alias("label"), F.when(k % 17 != 0, F.col("o_totalprice") + F.when(k % 19 == 0, 1).otherwise(0)).alias("v"))
+def _two_copies(s: SparkSession, d: str):
+    """The source's and the store's records as entities and cells (one per record,
+    its values as written)."""
+    def side(t: str) -> DataFrame:
+        return latest(load(s, d, t), ["entity_id"], ["observed_at"], ["kind", "label", "values_json"]).withColumnRenamed("entity_id", "id")
 
     def cells(df: DataFrame) -> DataFrame:
-        return df.where("v is not null").select(F.col("id").alias("entity_id"), F.lit("total").alias("field_key"), F.col("v").cast("string").alias("value_json"), F.lit("sync").alias("source"))
+        return df.where("values_json is not null").select(F.col("id").alias("entity_id"), F.lit("values").alias("field_key"), F.col("values_json").alias("value_json"), F.lit("sync").alias("source"))
 
-    return src, sto, cells(src), cells(sto)
+    a, b = side("snapshot_records"), side("store_records")
+    return a, b, cells(a), cells(b)
 
 
-@query(f"""WITH {_SRC} SELECT coalesce(a.id, b.id) AS entity_id, CASE WHEN b.id IS NULL THEN 'new' WHEN a.id IS NULL THEN 'missing' WHEN a.label <> b.label OR (b.v IS NOT NULL AND a.v <> b.v) THEN 'conflict' WHEN b.v IS NULL THEN 'enrich' ELSE 'unchanged' END AS state FROM src a FULL JOIN sto b ON a.id = b.id""")
+@query(f"""WITH {_AB} SELECT coalesce(a.entity_id, b.entity_id) AS entity_id, CASE WHEN b.entity_id IS NULL THEN 'new' WHEN a.entity_id IS NULL THEN 'missing'
+WHEN a.kind IS DISTINCT FROM b.kind OR a.label IS DISTINCT FROM b.label OR (b.values_json IS NOT NULL AND a.values_json IS DISTINCT FROM b.values_json) THEN 'conflict' WHEN a.values_json IS NOT NULL AND b.values_json IS NULL THEN 'enrich' ELSE 'unchanged' END AS state FROM a FULL JOIN b ON a.entity_id = b.entity_id""")
 def m01_entity_plan(s, d):
-    return snapshot.entity_plan(*_two_slices(s, d)).select("entity_id", "state")
+    return snapshot.entity_plan(*_two_copies(s, d)).select("entity_id", "state")
 
 
-@query(f"WITH {_SRC} SELECT a.id AS entity_id FROM src a LEFT JOIN sto b ON a.id = b.id WHERE a.v IS DISTINCT FROM b.v AND a.v IS NOT NULL")
+@query(f"WITH {_AB} SELECT a.entity_id FROM a LEFT JOIN b ON a.entity_id = b.entity_id WHERE a.values_json IS NOT NULL AND a.values_json IS DISTINCT FROM b.values_json")
 def m07_changed_cells(s, d):
-    _, _, a, b = _two_slices(s, d)
+    _, _, a, b = _two_copies(s, d)
     return snapshot.changed_cells(a, b).select("entity_id")
 
 
-@query("""WITH a AS (SELECT o_orderkey, strftime(o_orderdate, '%Y-%m') AS month, o_orderstatus AS v FROM orders WHERE o_orderkey % 11 <> 0), b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN '2000-01' ELSE strftime(o_orderdate, '%Y-%m') END AS month, CASE WHEN o_orderkey % 3 = 0 THEN 'Z' ELSE o_orderstatus END AS v FROM orders WHERE o_orderkey % 7 <> 0)
-SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, coalesce(a.month, b.month) AS month, CASE WHEN b.v IS NULL THEN 'new' WHEN a.v IS NULL THEN 'missing' WHEN a.month <> b.month THEN 'reassigned' WHEN a.v <> b.v THEN 'changed' ELSE 'unchanged' END AS state FROM a FULL JOIN b ON a.o_orderkey = b.o_orderkey""")
+@query(f"""WITH {_AB} SELECT coalesce(a.entity_id, b.entity_id) AS entity_id, coalesce(a.kind, b.kind) AS kind, CASE WHEN b.entity_id IS NULL THEN 'new' WHEN a.entity_id IS NULL THEN 'missing' WHEN a.kind IS DISTINCT FROM b.kind THEN 'reassigned' WHEN a.label IS DISTINCT FROM b.label THEN 'changed' ELSE 'unchanged' END AS state
+FROM a FULL JOIN b ON a.entity_id = b.entity_id""")
 def m03_partition_plan(s, d):
-    o, k = load(s, d, "orders").withColumn("month", F.date_format("o_orderdate", "yyyy-MM")), F.col("o_orderkey")
-    a = o.where(k % 11 != 0).select("o_orderkey", "month", F.col("o_orderstatus").alias("v"))
-    b = o.where(k % 7 != 0).select("o_orderkey", F.when(k % 5 == 0, "2000-01").otherwise(F.col("month")).alias("month"), F.when(k % 3 == 0, "Z").otherwise(F.col("o_orderstatus")).alias("v"))
-    return snapshot.partition_plan(a, b, "o_orderkey", "month", "v")
+    a, b, _, _ = _two_copies(s, d)
+    return snapshot.partition_plan(a.withColumnRenamed("id", "entity_id"), b.withColumnRenamed("id", "entity_id"), "entity_id", "kind", "label")
 
 
-@query("""WITH seen AS (SELECT CASE WHEN doc_id % 9 = 0 THEN 'new/' ELSE 'doc/' END || doc_id AS path, sha256(CASE WHEN doc_id % 10 = 0 THEN text || '!' ELSE text END) AS sha FROM documents WHERE doc_id % 8 <> 0), known AS (SELECT 'doc/' || doc_id AS path, sha256(text) AS sha FROM documents WHERE doc_id % 6 <> 0),
+@query("""WITH seen AS (SELECT coalesce(lang, 'none') || '/' || doc_id AS path, sha256(CASE WHEN source = 'canon_notes' THEN text || '!' ELSE text END) AS sha FROM documents WHERE source <> 'repo_briefs'), known AS (SELECT CASE WHEN lang = 'de' THEN 'old' ELSE coalesce(lang, 'none') END || '/' || doc_id AS path, sha256(text) AS sha FROM documents WHERE source <> 'ledger_notes'),
 j AS (SELECT coalesce(s.path, k.path) AS path, s.sha AS s1, k.sha AS s2 FROM seen s FULL JOIN known k ON s.path = k.path), g AS (SELECT s2 AS s, count(*) AS n, min(path) AS was FROM j WHERE s1 IS NULL GROUP BY 1), w AS (SELECT s1 AS s, count(*) AS n FROM j WHERE s2 IS NULL GROUP BY 1), p AS (SELECT g.s, g.was FROM g JOIN w ON g.s = w.s WHERE g.n = 1 AND w.n = 1)
 SELECT path, CASE WHEN s1 IS NULL THEN CASE WHEN was IS NOT NULL THEN 'moved_away' ELSE 'missing' END WHEN s2 IS NULL THEN CASE WHEN was IS NOT NULL THEN 'moved' ELSE 'first_seen' END WHEN s1 = s2 THEN 'unchanged' ELSE 'content_changed' END AS state, CASE WHEN s2 IS NULL THEN was END AS was_path FROM j LEFT JOIN p ON p.s = coalesce(s1, s2)""")
 def m04_file_plan(s, d):
-    docs, i = load(s, d, "documents"), F.col("doc_id")
-    seen = docs.where(i % 8 != 0).select(F.concat(F.when(i % 9 == 0, "new/").otherwise("doc/"), i.cast("string")).alias("path"), F.sha2(F.when(i % 10 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("sha"))
-    known = docs.where(i % 6 != 0).select(F.concat(F.lit("doc/"), i.cast("string")).alias("path"), F.sha2("text", 256).alias("sha"))
+    """Two listings of the documents: folders by language, some renamed, changed, new or gone."""
+    docs, i, lang = load(s, d, "documents"), F.col("doc_id").cast("string"), F.coalesce("lang", F.lit("none"))
+    seen = docs.where("source <> 'repo_briefs'").select(F.concat(lang, F.lit("/"), i).alias("path"), F.sha2(F.when(F.col("source") == "canon_notes", F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("sha"))
+    known = docs.where("source <> 'ledger_notes'").select(F.concat(F.when(F.col("lang") == "de", "old").otherwise(lang), F.lit("/"), i).alias("path"), F.sha2("text", 256).alias("sha"))
     return snapshot.file_plan(seen, known)
 
 
@@ -220,7 +222,7 @@ def x04_merge_maps(s, d):
 _RULES = [("lineitem", "l_orderkey", "orders"), ("lineitem", "l_partkey", "part"), ("lineitem", "l_suppkey", "supplier"), ("customer", "c_nationkey", "nation")]
 
 
-@query("""WITH e AS (SELECT 'lineitem' AS t, 'l_orderkey' AS f, 'orders' AS g, CAST(l_orderkey AS VARCHAR) AS v, l_orderkey % 10 <> 0 AS ok FROM lineitem UNION ALL SELECT 'lineitem', 'l_partkey', 'part', CAST(l_partkey AS VARCHAR), true FROM lineitem
+@query("""WITH e AS (SELECT 'lineitem' AS t, 'l_orderkey' AS f, 'orders' AS g, CAST(l_orderkey AS VARCHAR) AS v, o_orderkey IS NOT NULL AS ok FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey AND o_orderstatus <> 'P' UNION ALL SELECT 'lineitem', 'l_partkey', 'part', CAST(l_partkey AS VARCHAR), true FROM lineitem
 UNION ALL SELECT 'lineitem', 'l_suppkey', 'supplier', CAST(l_suppkey AS VARCHAR), true FROM lineitem UNION ALL SELECT 'customer', 'c_nationkey', 'nation', CAST(c_nationkey AS VARCHAR), true FROM customer)
 SELECT t || '.' || f || '->' || g || ':' || CASE WHEN ok THEN 'resolved' ELSE 'missing_target' END AS edge_type, count(*) AS n FROM e GROUP BY 1""")
 def a14_edge_counts(s, d):
@@ -232,12 +234,12 @@ def _edges(s: SparkSession, d: str) -> DataFrame:
     r1 = li.select(F.lit("lineitem").alias("source_table"), F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("source_id"), F.create_map(*[x for c in ("l_orderkey", "l_partkey", "l_suppkey") for x in (F.lit(c), F.col(c).cast("string"))]).alias("payload"))
     r2 = cu.select(F.lit("customer").alias("source_table"), F.col("c_custkey").cast("string").alias("source_id"), F.create_map(F.lit("c_nationkey"), F.col("c_nationkey").cast("string")).alias("payload"))
     t = [load(s, d, n).select(F.lit(n).alias("table_name"), F.col(k).cast("string").alias("record_id")) for n, k in (("part", "p_partkey"), ("supplier", "s_suppkey"), ("nation", "n_nationkey"))]
-    t.append(load(s, d, "orders").where("o_orderkey % 10 <> 0").select(F.lit("orders").alias("table_name"), F.col("o_orderkey").cast("string").alias("record_id")))
+    t.append(load(s, d, "orders").where("o_orderstatus <> 'P'").select(F.lit("orders").alias("table_name"), F.col("o_orderkey").cast("string").alias("record_id")))
     targets = t[0].unionByName(t[1]).unionByName(t[2]).unionByName(t[3])
     return refgraph.edges(r1.unionByName(r2), _RULES, targets)
 
 
-@query("SELECT CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS source_id, CAST(l_orderkey AS VARCHAR) AS target_id FROM lineitem WHERE l_orderkey % 10 = 0")
+@query("SELECT CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS source_id, CAST(l_orderkey AS VARCHAR) AS target_id FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_orderstatus <> 'P')")
 def g01_missing_targets(s, d):
     return _edges(s, d).where("status = 'missing_target'").select("source_id", "target_id")
 
