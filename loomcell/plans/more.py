@@ -60,11 +60,11 @@ def a11_distinct_sets(s, d):
     return load(s, d, "field_agent_actions").groupBy("intent").agg(F.count_distinct("run_id").alias("n_runs"), F.count_distinct("outcome").alias("n_outcomes"), F.array_join(F.array_sort(F.collect_set("capability_decision")), ",").alias("decisions"))
 
 
-@query(f"WITH {_CUR_CAND}, y AS (SELECT source_ref AS member, score FROM x WHERE source_kind = 'field' UNION ALL SELECT candidate_field_id, score FROM x WHERE source_kind = 'field') SELECT member, min(score) AS min_score, round(avg(score), 6) AS avg_score FROM y WHERE score IS NOT NULL GROUP BY 1")
+@query(f"WITH {_CUR_CAND}, y AS (SELECT source_ref AS member, score FROM x WHERE source_kind = 'field' UNION ALL SELECT candidate_field_id, score FROM x WHERE source_kind = 'field') SELECT member, min(score) AS min_score, CAST(sum(CAST(round(score * 10000) AS BIGINT)) AS BIGINT) AS score_sum FROM y WHERE score IS NOT NULL GROUP BY 1")
 def a13_peer_scores(s, d):
     c = _candidates(s, d).where("source_kind = 'field' and score is not null")
     both = c.select(F.col("source_ref").alias("member"), "score").unionByName(c.select(F.col("candidate_field_id").alias("member"), "score"))
-    return both.groupBy("member").agg(F.min("score").alias("min_score"), F.round(F.avg("score"), 6).alias("avg_score"))
+    return both.groupBy("member").agg(F.min("score").alias("min_score"), F.sum(F.round(F.col("score") * 10000).cast("bigint")).alias("score_sum"))
 
 
 @query("SELECT o_orderpriority, o_orderstatus, count(*) AS n FROM orders GROUP BY ROLLUP (o_orderpriority, o_orderstatus)")
