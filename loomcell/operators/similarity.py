@@ -152,14 +152,18 @@ def ordered_numbers(df: DataFrame, order: list[str], name: str = "rn", rows: int
     return p.join(F.broadcast(before), "__p").withColumn(name, F.col("b") + F.col("__i") + 1).drop("__m", "__p", "__i", "b")
 
 
-def neighbour_pairs(df: DataFrame, key: str, order: list[str], k: int) -> DataFrame:
+def neighbour_pairs(df: DataFrame, key: str, order: list[str], k: int, within: str | None = None) -> DataFrame:
     """Directed pairs (source, candidate) of rows at most k places apart in an
-    order: an equi-join on blocks of k + 1 places and the block after."""
-    n = ordered_numbers(df.select(key, *[c for c in order if c != key]), order).select(F.col(key).alias("id"), "rn")
+    order: an equi-join on blocks of k + 1 places and the block after. `within`, a
+    column without nulls: each of its values has an order of its own."""
+    by = [within] if within else []
+    order = [*by, *order]
+    n = ordered_numbers(df.select(key, *[c for c in order if c != key]), order).select(F.col(key).alias("id"), "rn", *by)
     block = F.floor(F.col("rn") / (k + 1))
-    a = n.select(F.col("id").alias("source"), F.col("rn").alias("r1"), block.alias("b"))
-    b = n.select(F.col("id").alias("candidate"), F.col("rn").alias("r2"), F.explode(F.array(block, block + 1)).alias("b"))
-    near = a.join(b, "b").where((F.col("r2") < F.col("r1")) & (F.col("r1") - F.col("r2") <= k)).select("source", "candidate")
+    # rows of one value stand side by side, so places within it differ as in the whole
+    a = n.select(F.col("id").alias("source"), F.col("rn").alias("r1"), block.alias("b"), *by)
+    b = n.select(F.col("id").alias("candidate"), F.col("rn").alias("r2"), F.explode(F.array(block, block + 1)).alias("b"), *by)
+    near = a.join(b, ["b", *by]).where((F.col("r2") < F.col("r1")) & (F.col("r1") - F.col("r2") <= k)).select("source", "candidate")
     return near.unionByName(near.select(F.col("candidate").alias("source"), F.col("source").alias("candidate")))
 
 
@@ -168,26 +172,36 @@ def rare_cap(n: int) -> int:
     return max(4, min(64, max(1, math.floor(0.05 * n))))
 
 
-def rare_token_pairs(df: DataFrame, key: str, toks: str, cap: int) -> DataFrame:
+def rare_token_pairs(df: DataFrame, key: str, toks: str, cap: int | None = None, within: str | None = None) -> DataFrame:
     """Directed pairs that share a token that at most `cap` rows have: no token's
-    block is larger than the cap, so the join's output is bounded by rows x cap."""
-    t = df.select(F.col(key).alias("id"), F.explode(toks).alias("t")).distinct()
-    rare = t.groupBy("t").agg(F.count("*").alias("n")).where((F.col("n") <= cap) & (F.col("n") > 1)).select("t")
+    block is larger than the cap, so the join's output is bounded by rows x cap.
+    `within`, a column without nulls: pairs and counts are made within its values;
+    without a cap, that of each value is rare_cap of its rows."""
+    token = F.struct(within, F.col("t")) if within else F.col("t")
+    t = df.select(F.col(key).alias("id"), *([within] if within else []), F.explode(toks).alias("t")).select("id", token.alias("t")).distinct()
+    rare = t.groupBy("t").agg(F.count("*").alias("n")).where("n > 1")
+    if cap is None and within:
+        caps = df.groupBy(within).agg(F.greatest(F.lit(4), F.least(F.lit(64), F.floor(F.lit(0.05) * F.count("*")))).alias("cap"))
+        rare = rare.withColumn(within, F.col(f"t.{within}")).join(caps, within).where("n <= cap").select("t")
+    else:
+        rare = rare.where(F.col("n") <= (rare_cap(df.count()) if cap is None else cap)).select("t")
     r = lookup_join(t, rare, "t", "left_semi", spread=F.col("id"))
     return r.select(F.col("id").alias("source"), "t").join(r.select(F.col("id").alias("candidate"), "t"), "t").where("source <> candidate").select("source", "candidate").distinct()
 
 
 def scan(f: DataFrame, threshold: float = 0.72, most: int = 12, excluded: tuple[str, ...] = ("merged", "split", "deprecated"), limit_sources: int | None = None, namespace: str | None = None) -> DataFrame:
-    """Similar pairs of a registry: neighbours in name order or sharers of rare
-    tokens, the nearest `most` per source by shared tokens, type and spelling, then
-    scored with the smaller id left; pairs at or above the threshold."""
+    """Similar pairs of a registry, each namespace by itself: neighbours in name
+    order or sharers of tokens rare in the namespace, the nearest `most` per source
+    by shared tokens, type and spelling, then scored with the smaller id left; pairs
+    at or above the threshold. limit_sources: the first so many of a namespace."""
     f = f.where(F.col("namespace") == namespace) if namespace else f
-    e = spool(f.where(~F.col("status").isin(*excluded)).withColumn("toks", name_tokens(F.concat_ws(" ", "key", "label"))).withColumn("cmp", _compacted("key")))
-    n = e.count()
-    near = neighbour_pairs(e, "id", ["normalized_key", "key", "id"], most)
-    d = near.unionByName(rare_token_pairs(e, "id", "toks", rare_cap(n))).distinct()
+    e = spool(f.where(~F.col("status").isin(*excluded)).withColumn("ns", F.coalesce("namespace", F.lit("global"))).withColumn("toks", name_tokens(F.concat_ws(" ", "key", "label"))).withColumn("cmp", _compacted("key")))
+    near = neighbour_pairs(e, "id", ["normalized_key", "key", "id"], most, "ns")
+    d = near.unionByName(rare_token_pairs(e, "id", "toks", within="ns")).distinct()
     if limit_sources is not None:
-        d = d.join(ordered_numbers(e.select("id", "normalized_key", "key"), ["normalized_key", "key", "id"], rows=n).where(F.col("rn") <= limit_sources).select(F.col("id").alias("source")), "source", "left_semi")
+        o = ordered_numbers(e.select("ns", "id", "normalized_key", "key"), ["ns", "normalized_key", "key", "id"])
+        o = o.join(o.groupBy("ns").agg(F.min("rn").alias("first")), "ns").where(F.col("rn") - F.col("first") < limit_sources)
+        d = d.join(o.select(F.col("id").alias("source")), "source", "left_semi")
     s = d.join(e.select(F.col("id").alias("source"), F.col("toks").alias("t1"), F.col("value_type").alias("v1"), F.col("cmp").alias("c1")), "source")
     s = s.join(e.select(F.col("id").alias("candidate"), F.col("toks").alias("t2"), F.col("value_type").alias("v2"), F.col("cmp").alias("c2")), "candidate")
     ratio = pandas_udf(lambda a, b: pd.Series([char_ratio(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype=float), T.DoubleType())

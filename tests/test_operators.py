@@ -93,6 +93,20 @@ def test_planted_similar_fields_and_families(spark):
     assert ["f300", "f301", "f302"] in [r.members for r in fam.collect()]
 
 
+def test_each_namespace_is_scanned_by_itself(spark):
+    mine = ["author_full_name", "full_author_name"]
+    # alone the two are neighbours and their tokens rare; 70 foreign fields part them
+    foreign = [f"b_author_full_name_{i:02d}" for i in range(70)]
+    f = registry(spark, mine + foreign).withColumn("namespace", F.when(F.col("key").isin(*mine), "own").otherwise("foreign"))
+    pairs = similarity.scan(f, 0.7, 6)
+    assert ("f000", "f001") in {(r.left_id, r.right_id) for r in pairs.collect()}
+    assert pairs.join(f.select(F.col("id").alias("left_id"), F.col("namespace").alias("x")), "left_id").join(f.select(F.col("id").alias("right_id"), F.col("namespace").alias("y")), "right_id").where("x <> y").count() == 0
+    assert ["f000", "f001"] in [r.members for r in similarity.families(f, pairs, 0.7, 0.7).collect()]
+    toks = f.select("id", "namespace", F.split("key", "_").alias("toks"))
+    rare = {(r.source, r.candidate) for r in similarity.rare_token_pairs(toks, "id", "toks", within="namespace").collect()}
+    assert {("f000", "f001"), ("f001", "f000")} == rare
+
+
 def test_a_chain_is_no_family(spark):
     score = similarity.pair_score
     rows = [{"key": k, "label": k, "description": "", "value_type": "text", "namespace": "n"} for k in ("a b c d", "c d e f", "e f g h")]
