@@ -237,14 +237,16 @@ def families(f: DataFrame, pairs: DataFrame, seed: float = 0.78, coherence: floa
     at least `coherence`. Equal member sets once, under the smallest seed key.
     Columns: seed_id, members (sorted ids), min_score, n_members.
 
-    A seed's neighbours are bounded by the scan's `most`; scores among them that
-    the pairs lack are worked out where they are needed."""
+    All neighbours of a seed are walked until `most` members are taken. A hub that
+    many sources chose has more than the scan's `most`, but only fields of its
+    windows and its rare tokens: under 2 * 12 and 64 a token for the scan's own
+    pairs. Scores that the pairs lack are worked out where they are needed."""
     ship(f.sparkSession)
     both = pairs.select(F.col("left_id").alias("a"), F.col("right_id").alias("b"), "score").unionByName(pairs.select(F.col("right_id").alias("a"), F.col("left_id").alias("b"), "score")).where(F.col("score") >= seed)
     attrs = f.select("id", *_ATTRS)
     n = both.join(attrs.select(F.col("id").alias("a"), F.col("value_type").alias("ta"), F.col("namespace").alias("na")), "a").join(attrs.withColumnRenamed("id", "b"), "b").where("ta = value_type and na = namespace")
     w = Window.partitionBy("a").orderBy(F.desc("score"), F.desc("b"))
-    near = n.withColumn("r", F.row_number().over(w)).where(F.col("r") <= 4 * most)
+    near = n.withColumn("r", F.row_number().over(w))
     grouped = near.groupBy("a").agg(F.sort_array(F.collect_list(F.struct("r", "b", "score", *_ATTRS))).alias("near"))
     seeds = grouped.join(attrs.withColumnRenamed("id", "a"), "a")
 
@@ -259,7 +261,10 @@ def families(f: DataFrame, pairs: DataFrame, seed: float = 0.78, coherence: floa
                         break
                     c = dict(c) if isinstance(c, dict) else c.asDict()
                     other = {k: c[k] for k in _ATTRS} | {"id": c["b"]}
-                    scores = [pair_score(*sorted((m, other), key=lambda x: x["id"]))["score"] for m in members]
+                    both = [sorted((m, other), key=lambda x: x["id"]) for m in members]
+                    if not all(can_reach(*x, coherence) for x in both):
+                        continue
+                    scores = [pair_score(*x)["score"] for x in both]
                     if min(scores) >= coherence:
                         members.append(other)
                         low = min(low, *scores)

@@ -107,6 +107,15 @@ def test_each_namespace_is_scanned_by_itself(spark):
     assert {("f000", "f001"), ("f001", "f000")} == rare
 
 
+def test_all_neighbours_of_a_hub_are_walked(spark):
+    # the best-scored twin joins and shuts out the next 40; the last one fits it
+    f = registry(spark, ["author_full_name", "full_author_name", *[f"q{i:02d}" for i in range(40)], "name_author_full"])
+    score = [("f000", "f001", 0.99), *[("f000", f"f{i:03d}", 0.95) for i in range(2, 42)], ("f000", "f042", 0.9)]
+    pairs = spark.createDataFrame(score, "left_id string, right_id string, score double")
+    fam = similarity.families(f, pairs, 0.9)
+    assert ["f000", "f001", "f042"] in [r.members for r in fam.collect()]
+
+
 def test_a_chain_is_no_family(spark):
     score = similarity.pair_score
     rows = [{"key": k, "label": k, "description": "", "value_type": "text", "namespace": "n"} for k in ("a b c d", "c d e f", "e f g h")]
