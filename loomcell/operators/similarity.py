@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 import unicodedata
@@ -9,6 +10,7 @@ from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -216,19 +218,97 @@ def scan(f: DataFrame, threshold: float = 0.72, most: int = 12, excluded: tuple[
     return score_pairs(pairs, e, threshold)
 
 
-def score_against(f: DataFrame, proposal: dict, top_k: int = 10, most: int = 1000) -> DataFrame:
-    """A proposal against the registry: the nearest `most` by shared tokens, then
-    the best top_k by score, proposal left."""
-    toks = tokens(f"{proposal['key']} {proposal['label']}")
-    e = f.withColumn("shared", F.size(F.array_intersect(name_tokens(F.concat_ws(" ", "key", "label")), F.array(*map(F.lit, toks)).cast("array<string>"))))
-    near = e.orderBy(F.desc("shared"), (F.col("value_type") == proposal["value_type"]).desc(), F.desc("id")).limit(max(top_k, min(most, 10_000)))
+#: Fields and proposals that are compared in one step of score_proposals.
+_FIELDS, _PROPOSALS = 2_000, 250
+_TEXTS = ("key", "label", "description")
+
+
+class _Bounds:
+    """Upper bounds of pair_score of a proposal with each of many fields of its namespace."""
+
+    def __init__(self, rows: list[dict]):
+        self.rows = rows
+        self.type = np.array([_norm(r["value_type"]) for r in rows], dtype=object)
+        self.texts = {}
+        for k in _TEXTS:
+            parts = [_parts(r[k]) for r in rows]
+            with_token: dict[str, list[int]] = {}
+            for n, (toks, _) in enumerate(parts):
+                for x in toks:
+                    with_token.setdefault(x, []).append(n)
+            self.texts[k] = ({x: np.array(v) for x, v in with_token.items()}, np.array([len(x) for x, _ in parts]), np.stack([_counts(c) for _, c in parts]), np.array([len(c) for _, c in parts]))
+
+    def __call__(self, p: dict) -> np.ndarray:
+        same = self.type == _norm(p["value_type"])
+        total = WEIGHTS["type"] * same + WEIGHTS["namespace"]
+        for k in _TEXTS:
+            with_token, n_tokens, counts, length = self.texts[k]
+            toks, text = _parts(p[k])
+            shared = np.zeros(len(self.rows))
+            for x in toks:
+                if x in with_token:
+                    shared[with_token[x]] += 1
+            union = n_tokens + len(toks) - shared
+            words = np.where(union > 0, shared / np.maximum(union, 1), 1.0)
+            # of the characters at most the common ones match; classes only raise that
+            common = np.minimum(counts, _counts(text)).sum(1)
+            both = length + len(text)
+            chars = np.where(both > 0, 2 * common / np.maximum(both, 1), 1.0)
+            total = total + WEIGHTS[k] * np.maximum(words, CHAR_FACTOR * chars)
+        return total * np.where(same, 1, TYPE_PENALTY) + 1e-6
+
+
+def _norm(s: str | None) -> str:
+    return unicodedata.normalize("NFKC", s or "").strip().lower()
+
+
+def _counts(s: str) -> np.ndarray:
+    """Characters by class; Latin letters and digits have one each."""
+    return np.bincount([ord(c) % 75 for c in s], minlength=75).astype(np.int32) if s else np.zeros(75, np.int32)
+
+
+def score_proposals(f: DataFrame, proposals: DataFrame, top_k: int = 10, excluded: tuple[str, ...] = ("merged", "split", "deprecated")) -> DataFrame:
+    """The best top_k fields of each proposal (id and the fields' attributes) among
+    all eligible fields of its namespace: proposal_id, field_id, score, proposal left.
+
+    Blocks of fields meet chunks of proposals; in a block the fields are scored in
+    the order of an upper bound until no further one can be among the best."""
+    ship(f.sparkSession)
+    ns = F.coalesce(F.nullif("namespace", F.lit("")), F.lit("global"))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in frames:
-            made = [pair_score(proposal, r) for r in p.to_dict("records")]
-            yield pd.DataFrame({"field_id": p["id"], "score": [m["score"] for m in made]})
+    def packed(df: DataFrame, rows: int, name: str) -> DataFrame:
+        df = df.select(ns.alias("ns"), F.struct("id", *_ATTRS).alias("x"))
+        parts = df.groupBy("ns").agg(F.ceil(F.count("*") / rows).alias("parts"))
+        return df.join(parts, "ns").groupBy("ns", F.pmod(F.xxhash64("x.id"), "parts").alias(f"{name}_part")).agg(F.collect_list("x").alias(name))
+
+    both = packed(proposals, _PROPOSALS, "proposals").join(packed(f.where(~F.col("status").isin(*excluded)), _FIELDS, "fields"), "ns")
+    parts = max(24, int(f.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    both = both.repartition(parts, "ns", "proposals_part", "fields_part").select("proposals", "fields")
 
-    return near.select("id", *_ATTRS).mapInPandas(run, "field_id string, score double").orderBy(F.desc("score"), F.desc("field_id")).limit(top_k)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for n in range(b.num_rows):
+                rows, out = b.column(1)[n].as_py(), []
+                bounds = _Bounds(rows)
+                for p in b.column(0)[n].as_py():
+                    bound, best = bounds(p), []
+                    for i in np.argsort(-bound, kind="stable"):
+                        if len(best) == top_k and bound[i] < best[0][0]:
+                            break
+                        x = (pair_score(p, rows[i])["score"], rows[i]["id"])
+                        (heapq.heappush if len(best) < top_k else heapq.heappushpop)(best, x)
+                    out += [(p["id"], i, s) for s, i in best]
+                yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.string(), pa.string(), pa.float64()))], ["proposal_id", "field_id", "score"])
+
+    found = both.mapInArrow(run, "proposal_id string, field_id string, score double")
+    w = Window.partitionBy("proposal_id").orderBy(F.desc("score"), F.desc("field_id"))
+    return found.withColumn("r", F.row_number().over(w)).where(F.col("r") <= top_k).drop("r")
+
+
+def score_against(f: DataFrame, proposal: dict, top_k: int = 10) -> DataFrame:
+    """The best top_k fields of one proposal: field_id, score."""
+    p = f.sparkSession.createDataFrame([("", *(proposal[a] for a in _ATTRS))], ", ".join(f"{c} string" for c in ("id", *_ATTRS)))
+    return score_proposals(f, p, top_k).select("field_id", "score").orderBy(F.desc("score"), F.desc("field_id"))
 
 
 def families(f: DataFrame, pairs: DataFrame, seed: float = 0.78, coherence: float = 0.72, most: int = 8) -> DataFrame:

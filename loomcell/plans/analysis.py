@@ -71,8 +71,8 @@ def e06_scan(s, d):
 
 @query()
 def e05_score_proposal(s, d):
-    p = load(s, d, "field_proposals").orderBy("created_at", "id").select("key", "label", "description", "value_type", "namespace").limit(1).first().asDict()
-    return similarity.score_against(F_(s, d), p, 20)
+    p = latest(load(s, d, "field_proposals").where("id is not null"), ["id"], ["created_at"], ["key", "label", "description", "value_type", "namespace"])
+    return similarity.score_proposals(F_(s, d), p, 20)
 
 
 @query()

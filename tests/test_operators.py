@@ -116,6 +116,17 @@ def test_all_neighbours_of_a_hub_are_walked(spark):
     assert ["f000", "f001", "f042"] in [r.members for r in fam.collect()]
 
 
+def test_a_proposal_meets_all_eligible_fields_of_its_namespace(spark):
+    # nearly the proposal's key without a common word, behind 1,100 others by id
+    f = registry(spark, ["authornames", *[f"zz_{i}" for i in range(1100)], "author_name", "authorname"])
+    f = f.withColumn("namespace", F.when(F.col("key") == "author_name", "other").otherwise("n")).withColumn("status", F.when(F.col("key") == "authorname", "merged").otherwise("active"))
+    p = {"key": "author_name", "label": "Author Name", "description": "", "value_type": "text", "namespace": "n"}
+    got = [(r.field_id, r.score) for r in similarity.score_against(f, p, 3).collect()]
+    rows = [r.asDict() for r in f.where("namespace = 'n' and status = 'active'").collect()]
+    assert got == sorted(((r["id"], similarity.pair_score(p, r)["score"]) for r in rows), key=lambda x: (x[1], x[0]), reverse=True)[:3]
+    assert got[0][0] == "f000"
+
+
 def test_a_chain_is_no_family(spark):
     score = similarity.pair_score
     rows = [{"key": k, "label": k, "description": "", "value_type": "text", "namespace": "n"} for k in ("a b c d", "c d e f", "e f g h")]
