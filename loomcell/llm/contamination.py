@@ -106,19 +106,26 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.asarray(column.values)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def cut(flat: np.ndarray, offsets: np.ndarray, size: int, stride: int, rest: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Passages of equal size: their row numbers and a matrix of units; with
-    `rest`, shorter rows give one passage filled up with zeros."""
+def cut(flat: np.ndarray, offsets: np.ndarray, size: int, stride: int, rest: str = "") -> tuple[np.ndarray, np.ndarray]:
+    """Passages of equal size: their row numbers and a matrix of units. With `rest`,
+    every unit is in some passage: units after a row's last passage give one more,
+    filled up with zeros ("fill") or reaching back from the row's end ("back");
+    rows shorter than a passage give one filled up."""
     lengths = np.diff(offsets)
     n = np.maximum(0, (lengths - size) // stride + 1)
     rows = np.repeat(np.arange(len(n)), n)
     starts = offsets[:-1][rows] + (np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n)) * stride
+    end = np.where(n > 0, (n - 1) * stride + size, 0)  # of the last passage
+    if rest == "back":
+        late = np.flatnonzero((n > 0) & (end < lengths))
+        rows, starts = np.concatenate([rows, late]), np.concatenate([starts, offsets[1:][late] - size])
     m = flat[starts[:, None] + np.arange(size)] if len(starts) else np.empty((0, size), np.int64)
     if rest:
-        short = np.flatnonzero((lengths > 0) & (lengths < size))
+        short = np.flatnonzero((end < lengths) & ((n == 0) | (rest == "fill")))
         extra = np.zeros((len(short), size), np.int64)
         for i, r in enumerate(short):
-            extra[i, : lengths[r]] = flat[offsets[r] : offsets[r + 1]]
+            tail = flat[offsets[r] + end[r] : offsets[r + 1]]
+            extra[i, : len(tail)] = tail
         rows, m = np.concatenate([rows, short]), np.concatenate([m, extra])
     return rows, m
 
@@ -156,7 +163,7 @@ def _per_feature(df: DataFrame, width: int, work: Callable[[np.ndarray, np.ndarr
         total = np.zeros((FEATURES, width))
         for b in batches:
             flat, offsets = _flat(b.column(0))
-            work(total, cut(flat, offsets, PASSAGE, PASSAGE, True)[1])
+            work(total, cut(flat, offsets, PASSAGE, PASSAGE, "fill")[1])
         used = np.flatnonzero(total.any(1))
         for i in range(0, len(used), _CHUNK):
             part = used[i : i + _CHUNK]
@@ -174,9 +181,9 @@ def _idf(docs: DataFrame) -> np.ndarray:
     """Inverse passage frequencies of the hashed features, over all documents."""
 
     def work(total: np.ndarray, m: np.ndarray) -> None:
-        f = np.sort(_features(m), 1)
-        once = np.ones_like(f, bool)
-        once[:, 1:] = f[:, 1:] != f[:, :-1]
+        f = np.sort(np.where(m == 0, -1, _features(m)), 1)
+        once = f >= 0  # the filling is no unit
+        once[:, 1:] &= f[:, 1:] != f[:, :-1]
         total[:, 0] += np.bincount(f[once], minlength=FEATURES)
         total[0, 1] += len(m)
 
@@ -309,12 +316,12 @@ def leaked_runs(documents: DataFrame, key: str, text: str, items: DataFrame, ite
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             idf_, basis_ = model.value
             ids, us = block.value
-            rows, m = cut(np.concatenate(us), np.concatenate([[0], np.cumsum([len(u) for u in us])]), PASSAGE, 1, False)
+            rows, m = cut(np.concatenate(us), np.concatenate([[0], np.cumsum([len(u) for u in us])]), PASSAGE, 1)
             index = _Index(_unit_length(_project(m, idf_, basis_)), rows)
             item_runs: dict[int, set[bytes]] = {}
             for b in batches:
                 flat, offsets = _flat(b.column(1))
-                drows, dm = cut(flat, offsets, PASSAGE, PASSAGE, False)
+                drows, dm = cut(flat, offsets, PASSAGE, PASSAGE)
                 pairs: set[tuple[int, int]] = set()
                 for i in range(0, len(dm), _CHUNK):
                     x = _unit_length(_project(dm[i : i + _CHUNK], idf_, basis_))
@@ -374,12 +381,12 @@ def paraphrases(documents: DataFrame, key: str, text: str, items: DataFrame, ite
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             idf_, basis_ = model.value
             ids, us = block.value
-            irows, im = cut(np.concatenate(us), np.concatenate([[0], np.cumsum([len(u) for u in us])]), WINDOW, ITEM_STEP, True)
+            irows, im = cut(np.concatenate(us), np.concatenate([[0], np.cumsum([len(u) for u in us])]), WINDOW, ITEM_STEP, "back")
             iv = _unit_length(_project(im, idf_, basis_)).T.astype(np.float32)
             rare = [set(w[np.argsort(-idf_[_features(w)], kind="stable")[:6]].tolist()) - {0} for w in im]
             for b in batches:
                 flat, offsets = _flat(b.column(1))
-                drows, dm = cut(flat, offsets, WINDOW, STEP, True)
+                drows, dm = cut(flat, offsets, WINDOW, STEP, "back")
                 best: dict[tuple[int, int], list[float]] = {}
                 for i in range(0, len(dm), 1024):
                     x = _unit_length(_project(dm[i : i + 1024], idf_, basis_)).astype(np.float32)

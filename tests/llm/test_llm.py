@@ -3,6 +3,7 @@
 import random
 import unicodedata
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -175,6 +176,25 @@ def test_reworded_passages(spark):
     assert X.common_order([1, 2, 3, 4], [2, 9, 4]) == 2
 
 
+def test_a_reworded_passage_at_the_end_of_a_document(spark):
+    item = "the keeper of the northern archive registers every revised ledger before the spring audit and signs the second copy with green ink only"
+    close = "the keeper of the northern archive registers each revised ledger before a spring audit and then signs the second copy with green ink"
+    noise = [" ".join(f"n{i * j % 97}" for j in range(1, 40)) for i in range(60)]
+    late = " ".join(f"w{j}" for j in range(36)) + " " + close  # ends 11 units after a multiple of the step
+    assert len(X.units(late)) % 12 == 11
+    dd = spark.createDataFrame([(i, t) for i, t in enumerate([*noise, late])], "doc int, body string")
+    assert {(r.doc, r.item) for r in X.paraphrases(dd, "doc", "body", spark.createDataFrame([(1, item)], "item int, q string"), "item", "q").collect()} == {(60, 1)}
+
+
+@pytest.mark.parametrize("rest", ["fill", "back"])
+def test_every_unit_is_in_a_passage(rest):
+    lengths = [0, 3, 8, 9, 12, 13, 31]
+    rows, m = X.cut(np.arange(1, sum(lengths) + 1), np.concatenate([[0], np.cumsum(lengths)]), 8, 4 if rest == "back" else 8, rest)
+    assert set(m.ravel().tolist()) - {0} == set(range(1, sum(lengths) + 1))
+    assert rest == "back" or np.count_nonzero(m) == sum(lengths)
+    assert set(rows.tolist()) == {1, 2, 3, 4, 5, 6}
+
+
 # ---- mixing
 
 
