@@ -134,9 +134,13 @@ def unfit_cells(cells: DataFrame, fields: DataFrame) -> DataFrame:
     return typed.where(~_fits(F.col("bits"), F.col("value_type"))).select("entity_id", "field_id")
 
 
-def _typed_value(t: str) -> Column:
-    by = {"text": "text", "integer": "whole", "number": "number", "boolean": "truth"}
-    return F.col(by.get(t, "json"))
+_TYPED = {"text": "text", "integer": "whole", "number": "number", "boolean": "truth"}
+#: Maps of the fields without a column of their own, and the value types they hold.
+OTHERS = {"other_texts": "text", "other_integers": "integer", "other_numbers": "number", "other_booleans": "boolean", "others": None}
+
+
+def _typed_value(t: str | None) -> Column:
+    return F.col(_TYPED.get(t, "json"))
 
 
 def cell_states(cells: DataFrame, fields: DataFrame) -> DataFrame:
@@ -149,8 +153,9 @@ def cell_states(cells: DataFrame, fields: DataFrame) -> DataFrame:
 
 def wide_rows(cells: DataFrame, fields: DataFrame, columns: list[tuple[str, str, str]]) -> DataFrame:
     """One row per entity: a typed column per listed field (field_id, name, type),
-    all other fields in the map `others` (field id to canonical JSON), and the
-    field ids of unfit and of JSON-null cells, so that in a null column absent
+    all other fields by field id in maps of their type (`other_texts`,
+    `other_integers`, `other_numbers`, `other_booleans`; the rest as canonical JSON
+    in `others`), and the field ids of unfit and of JSON-null cells, so that in a null column absent
     (in neither), null and unfit cells stay apart.
 
     The number of typed columns is the caller's choice and bounded by it; an
@@ -159,11 +164,15 @@ def wide_rows(cells: DataFrame, fields: DataFrame, columns: list[tuple[str, str,
     listed = [i for i, _, _ in columns]
     fits = F.col("state") == "fits"
     picked = [F.max(F.when((F.col("field_id") == i) & fits, _typed_value(t))).alias(n) for i, n, t in columns]
-    other = F.when(fits & ~F.col("field_id").isin(listed), F.struct("field_id", "json")) if listed else F.when(fits, F.struct("field_id", "json"))
+    rest = fits & ~F.col("field_id").isin(listed) if listed else fits
+
+    def other(t: str | None) -> Column:
+        mine = F.col("value_type") == t if t else ~F.coalesce("value_type", F.lit("")).isin(*_TYPED)
+        return F.map_from_entries(F.sort_array(F.collect_list(F.when(rest & mine, F.struct("field_id", _typed_value(t))))))
 
     def ids(state: str) -> Column:
         return F.sort_array(F.collect_list(F.when(F.col("state") == state, F.col("field_id"))))
 
     return s.groupBy("entity_id").agg(
-        *picked, F.map_from_entries(F.sort_array(F.collect_list(other))).alias("others"),
+        *picked, *[other(t).alias(n) for n, t in OTHERS.items()],
         ids("unfit").alias("unfit_fields"), ids("null").alias("null_fields"), F.count("*").alias("n_cells"))

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomcell.operators import difference, history, nested, wide
 from loomcell.runtime import load
 
-#: Typed columns of p1_wide: the fields of this namespace, at most so many.
-WIDE_NAMESPACE, WIDE_COLUMNS = "paper", 200
+#: Namespaces whose fields grow with the data; p1_wide has typed maps for these and a
+#: typed column for every field of the fixed ones.
+OPEN_NAMESPACES = "lab_"
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -18,10 +21,10 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_wide(spark: SparkSession, d: str) -> DataFrame:
     fields = load(spark, d, "fields")
-    types = wide.field_types(fields).where(F.col("namespace") == WIDE_NAMESPACE).select("field_id", "field_key", "value_type")
-    columns = [tuple(r) for r in types.orderBy("field_key", "field_id").limit(WIDE_COLUMNS).collect()]
-    names = [n for _, n, _ in columns]
-    columns = [(i, n if names.count(n) == 1 else f"{n}_{i[:8]}", t) for i, n, t in columns]
+    types = wide.field_types(fields).where(~F.coalesce("namespace", F.lit("")).startswith(OPEN_NAMESPACES))
+    columns = [(i, n or i, t) for i, n, t in types.select("field_id", "field_key", "value_type").orderBy("field_key", "field_id").collect()]
+    taken = Counter([n.lower() for _, n, _ in columns] + ["entity_id", *wide.OTHERS, "unfit_fields", "null_fields", "n_cells"])
+    columns = [(i, n if taken[n.lower()] == 1 else f"{n}_{i[:8]}", t) for i, n, t in columns]
     return wide.wide_rows(load(spark, d, "cells"), fields, columns)
 
 

@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 
 from loomcell.functions import jsontext as J
 from loomcell.operators import difference, history, nested, wide
+from loomcell.plans import problems
 
 T0 = datetime(2025, 1, 1)
 CELLS = "entity_id string, field_id string, value_json string, updated_at timestamp_ntz"
@@ -91,6 +92,17 @@ def test_wide_rows_tell_absent_null_and_unfit_apart(spark):
     assert w["b"].i is None and w["b"].unfit_fields == ["i"] and w["b"].null_fields == [] and w["b"].n_cells == 1
 
 
+def test_fields_of_all_namespaces_are_typed(spark, tmp_path):
+    reg = [("p", "title", "text", "paper"), ("c", "year", "integer", "canon"), ("l", "n", "number", "lab_x"), ("b", "ok", "boolean", "lab_x"), ("o", "meta", "object", "lab_x")]
+    f = spark.createDataFrame([(i, k, k, t, ns, T0) for i, k, t, ns in reg], "id string, key string, normalized_key string, value_type string, namespace string, updated_at timestamp_ntz")
+    c = spark.createDataFrame([("a", "p", '"x"', T0), ("a", "c", "7", T0), ("a", "l", "1.5", T0), ("a", "b", "true", T0), ("a", "o", '{"z": 1}', T0)], CELLS)
+    f.write.parquet(f"{tmp_path}/fields.parquet")
+    c.write.parquet(f"{tmp_path}/cells.parquet")
+    r = problems.p1_wide(spark, str(tmp_path)).first()
+    assert (r.title, r.year, r.other_numbers, r.other_booleans, r.others) == ("x", 7, {"l": 1.5}, {"b": True}, {"o": '{"z":1}'})
+    assert r.other_texts == {} and r.other_integers == {} and r.n_cells == 5
+
+
 def test_runs_compact_to_the_same_cells(spark, tmp_path):
     a = spark.createDataFrame([("a", "x", "1", T0), ("b", "x", "2", T0)], CELLS)
     b = spark.createDataFrame([("a", "x", "3", T0 + timedelta(1)), ("a", "y", "4", T0)], CELLS)
