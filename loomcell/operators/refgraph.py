@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import reduce
+from itertools import count
 
 import ahocorasick
 import pyarrow as pa
@@ -68,12 +69,13 @@ def degrees(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return j.withColumn("class", F.when((i == 0) & (o == 0), "isolated").when(i == 0, "root").when(o == 0, "terminal").otherwise("inner"))
 
 
-def closure(links: DataFrame, start: DataFrame, depth: int = 32) -> DataFrame:
+def closure(links: DataFrame, start: DataFrame, depth: int | None = None) -> DataFrame:
     """All nodes reached from start nodes (id) with their least distance. Only the
-    frontier is joined in a round; a cycle ends as nothing new is reached."""
+    frontier is joined in a round; a cycle ends as nothing new is reached. depth: the
+    greatest distance that is wanted, any if None."""
     li = spool(links.select("src", "dst").distinct())
     seen = frontier = spool(start.select(F.col("id").alias("start"), F.col("id").alias("node"), F.lit(0).alias("distance")).distinct())
-    for n in range(1, depth + 1):
+    for n in count(1) if depth is None else range(1, depth + 1):
         step = li.join(frontier.select("start", F.col("node").alias("src")), "src").select("start", F.col("dst").alias("node")).distinct()
         frontier = spool(step.join(seen, ["start", "node"], "left_anti").withColumn("distance", F.lit(n)))
         if frontier.isEmpty():
@@ -82,7 +84,7 @@ def closure(links: DataFrame, start: DataFrame, depth: int = 32) -> DataFrame:
     return seen.where("distance > 0")
 
 
-def strong_components(links: DataFrame, rounds: int = 1000) -> DataFrame:
+def strong_components(links: DataFrame) -> DataFrame:
     """Strongly connected components: id, component (its smallest id), cyclic (more
     than one node, or a link to itself). All nodes of the links have a row.
 
@@ -95,7 +97,7 @@ def strong_components(links: DataFrame, rounds: int = 1000) -> DataFrame:
     nodes = li.select(F.col("src").alias("id")).union(li.select("dst")).distinct()
     rest = spool(li.where("src <> dst"))
     done: list[DataFrame] = []
-    for _ in range(rounds):
+    while True:  # each round takes at least one component away
         # trim: keep links between nodes with a way in and a way out
         while True:
             n = rest.count()

@@ -358,3 +358,9 @@ def test_spread_windows_equal_plain_ones(spark):
     for k, t, v in sorted(rows):
         by.setdefault(k, []).append((t, v))
     assert got == {(k, t): (seq[i - 1][1] if i else None, i) for k, seq in by.items() for i, (t, _) in enumerate(seq)}
+
+
+def test_closure_reaches_the_end_of_a_deep_chain(spark):
+    links = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(34)], "src string, dst string")
+    got = {r.node: r.distance for r in refgraph.closure(links, spark.createDataFrame([("n0",)], "id string")).collect()}
+    assert got == {f"n{i}": i for i in range(1, 35)}
