@@ -12,7 +12,6 @@ import __spark_entry__ as entry
 from loomcell.llm import canonical_list as L
 from loomcell.llm import components as K
 from loomcell.llm import contamination as X
-from loomcell.llm import garbled as G
 from loomcell.llm import mixing as M
 from loomcell.llm import skeleton as Z
 
@@ -237,51 +236,6 @@ def test_mix_of_nothing(spark):
     assert used.count() == 0 and [x.actual_share for x in M.report(used, plan).collect()] == [0.0]
 
 
-# ---- garbled text
-
-
-CLEAN = ["Où la réserve manque, « X » désigne une entité à côté de l’été.", "Für „Größe“ gilt die übliche Überprüfung – 5° ± 2 §.", "ATENÇÃO: A CÓPIA NÃO É ÚLTIMA; À CÔTÉ DE L’ÂGE", "В партии 75 система «Ёж» ставит узел рядом с меткой.", "請先用budget登記水位，再處理「力矩」。", "tree/\n├── a.json\n└── b.csv", "√6 ≤ Ω(β) ± 68°, § 7", "plain ascii", "", "naïve façade, Ångström, piñata", "país política difícil", "“It’s” – fine…"]
-PAIRS = [("utf-8", "cp1252", "Für die Größe é"), ("utf-8", "latin-1", "l’été à côté"), ("utf-8", "cp1250", "Überprüfung für"), ("utf-8", "cp1251", "une entité à côté"), ("utf-8", "cp437", "“Größe” é"), ("utf-8", "mac_roman", "vérifiée à l’été"), ("utf-8", "cp1252", "В партии система"), ("utf-8", "latin-1", "請先用登記水位"),
-         ("cp1252", "mac_roman", "la réserve vérifiée"), ("cp1252", "cp437", "die größte Fläche"), ("cp1251", "cp1252", "система ставит узел рядом"), ("gb18030", "latin-1", "請先用登記水位，再處理"), ("big5", "latin-1", "請先用登記水位，再處理"), ("big5", "gb18030", "請先用登記水位，再處理"), ("utf-8", "gb18030", "請先用登記水位，再處理")]
-
-
-def wrongly(text, writer, reader):
-    return "".join(c for c in text.encode(writer).decode(reader, "replace")) if reader in ("gb18030", "latin-1", "mac_roman", "cp437") else "".join(G._byte(b, reader) for b in text.encode(writer))
-
-
-@pytest.mark.parametrize("text", CLEAN)
-def test_correct_text_is_left_alone(text):
-    assert G.spans(text) == [] and G.restore(text)[0] == text
-
-
-@pytest.mark.parametrize(("writer", "reader", "text"), PAIRS)
-def test_wrong_reading_is_found(writer, reader, text):
-    bad = wrongly(text, writer, reader)
-    assert G.spans(bad) and G.spans(f"Correct début à gauche. {bad} und Schluß.")
-
-
-@pytest.mark.parametrize(("writer", "reader", "text"), [p for p in PAIRS if p[1] not in ("gb18030",)])
-def test_restored(writer, reader, text):
-    assert G.restore(wrongly(text, writer, reader))[0] == text
-
-
-def test_twice_garbled_and_lost_bytes():
-    twice = wrongly(wrongly("größer “é”", "utf-8", "cp1252"), "utf-8", "cp1252")
-    assert G.restore(twice)[0].startswith("größer “é")
-    assert G.restore("caf�")[3] == 1 and G.spans("caf�")
-
-
-def test_only_the_spans_change():
-    text = f"Où « {wrongly('é', 'utf-8', 'cp1252')} » où É"
-    assert G.restore(text)[0] == "Où « é » où É"
-
-
-def test_garbled_table(spark):
-    df = spark.createDataFrame([(1, "cafÃ©"), (2, "café"), (3, None), (4, ""), (1, "cafÃ©"), (5, "x" * 200_000 + "â€œ")], "id int, t string").selectExpr("*", "1 as restored")
-    assert sorted(r.id for r in G.garbled(df, "id", "t").collect()) == [1, 1, 5]
-    assert G.garbled(df.limit(0), "id", "t").count() == 0
-
-
 # ---- queries
 
 
