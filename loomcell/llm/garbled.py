@@ -106,8 +106,8 @@ def _proves(seq: str, reader: str, original: str = "") -> bool:
 
 #: start, end, pair, restored text
 Span = tuple[int, int, str, str]
-#: start, end, character before, characters, character after
-Run = tuple[int, int, str, str, str]
+#: start, end, character before, characters, character after, number of the line
+Run = tuple[int, int, str, str, str, int]
 #: (pair, original, proves by itself, run needed otherwise)
 Meaning = tuple[str, str, bool, int]
 
@@ -223,13 +223,20 @@ def _known() -> frozenset[str]:
     return _repertoire() | _single_letters()
 
 
-def _class(c: str) -> str:
-    """The character as the model knows it: ideographs, digits, foreign ones by kind."""
-    if "！" <= c <= "～":  # full-width forms read as their plain ones
-        c = chr(ord(c) - 0xFEE0)
-    if c.isascii() or c.isspace() and c != "\xa0":
-        return _DIGIT if c.isdigit() else " " if c.isspace() else c
-    return c if c in _known() else _HAN if "⺀" <= c <= "鿿" else _OTHER
+class _Classes(dict):
+    """Characters as the model knows them: ideographs, digits, foreign ones by kind."""
+
+    def __missing__(self, c: str) -> str:
+        plain = chr(ord(c) - 0xFEE0) if "！" <= c <= "～" else c  # full-width forms read as their plain ones
+        if plain.isascii() or plain.isspace() and plain != "\xa0":
+            v = _DIGIT if plain.isdigit() else " " if plain.isspace() else plain
+        else:
+            v = c if c in _known() else _HAN if "⺀" <= c <= "鿿" else _OTHER
+        self[c] = v
+        return v
+
+
+_CLASS = _Classes()
 
 
 def pairs_in(texts: list[str], seen: dict[str, int] | None = None) -> dict[str, int]:
@@ -238,7 +245,7 @@ def pairs_in(texts: list[str], seen: dict[str, int] | None = None) -> dict[str,
     seen = {} if seen is None else seen
     whole = "\n".join(["", *texts, ""])
     for m in _runs().finditer(whole):
-        r = _class(whole[m.start() - 1]) + m.group() + _class(whole[m.end()])
+        r = _CLASS[whole[m.start() - 1]] + m.group() + _CLASS[whole[m.end()]]
         for i in range(len(r) - 1):
             k = r[i : i + 2]
             seen[k] = seen.get(k, 0) + 1
@@ -266,6 +273,15 @@ def _inverses() -> tuple[tuple[str, dict[str, str]], ...]:
     return tuple(out)
 
 
+def _runs_of(text: str) -> list[Run]:
+    out, line, last, n = [], 0, 0, len(text)
+    for m in _runs().finditer(text):
+        a, b = m.span()
+        line, last = line + text.count("\n", last, a), a
+        out.append((a, b, _CLASS[text[a - 1]] if a else " ", m.group(), _CLASS[text[b]] if b < n else " ", line))
+    return out
+
+
 class Likelihood:
     """How usual a text's sequences of two characters are, by counts of a corpus."""
 
@@ -294,7 +310,7 @@ class Likelihood:
 
     def score_between(self, text: str, a: int, b: int, new: str) -> float:
         """Log likelihood of the text with its characters from a to b replaced."""
-        return self._score((_class(text[a - 1]) if a else " ") + "".join(map(_class, new)) + (_class(text[b]) if b < len(text) else " "))
+        return self._score((_CLASS[text[a - 1]] if a else " ") + "".join([_CLASS[c] for c in new]) + (_CLASS[text[b]] if b < len(text) else " "))
 
     def better(self, before: str, run: str, after: str) -> tuple[tuple[int, float], ...]:
         """(number of the pair, gain) of the pairs whose restoring makes a run of
@@ -323,23 +339,21 @@ class Likelihood:
             return run, -math.inf
         return new, self._score(before + new + after) - self._score(before + run + after)
 
-    def stretches(self, text: str, taken: list[bool], least: float, writers: tuple[str, ...] = ()) -> list[Span]:
+    def stretches(self, runs: list[Run], taken: list[bool], least: float, writers: tuple[str, ...] = ()) -> list[Span]:
         """Stretches of a line that one pair's restoring makes much likelier: for
         each pair the runs of greatest total gain, of all pairs the best; then what
-        is left of the line."""
+        is left of the line. Another pair's span or a line's end ends a stretch."""
         found: list[Span] = []
-        lines: dict[int, list[Run]] = {}
-        line, last = 0, 0
-        for m in _runs().finditer(text):
-            a, b = m.span()
-            line, last = line + text.count("\n", last, a), a
-            if any(taken[a:b]):
-                line += 1  # another pair's span ends the stretch
+        lines: list[list[Run]] = []
+        last: tuple[int, int] | None = None
+        for n, r in enumerate(runs):
+            if any(taken[r[0] : r[1]]):
                 continue
-            before, after = _class(text[a - 1]) if a else " ", _class(text[b]) if b < len(text) else " "
-            lines.setdefault(line, []).append((a, b, before, m.group(), after))
-        for runs in lines.values():
-            todo = [runs]
+            if last != (r[5], n - 1):
+                lines.append([])
+            lines[-1].append(r)
+            last = (r[5], n)
+        for todo in [[x] for x in lines]:
             while todo:
                 part = todo.pop()
                 best = self._best(part, least, writers)
@@ -353,7 +367,7 @@ class Likelihood:
         """(pair, from, to, restored runs) of the greatest gain, if it is enough."""
         most: dict[int, float] = {}
         for r in runs:
-            for pair, gain in self.better(*r[2:]):
+            for pair, gain in self.better(*r[2:5]):
                 most[pair] = most.get(pair, 0.0) + gain
         best = None
         for pair, top in sorted(most.items(), key=lambda x: (-x[1], x[0])):
@@ -361,7 +375,7 @@ class Likelihood:
                 break
             if writers and not _inverses()[pair][0].startswith(writers):
                 continue
-            made = [self.restored(pair, *r[2:]) for r in runs]
+            made = [self.restored(pair, *r[2:5]) for r in runs]
             total, start = 0.0, 0
             for i, (_, gain) in enumerate(made):
                 if total <= 0:
@@ -521,27 +535,29 @@ def spans(text: str, model: Likelihood | None = None) -> list[Span]:
         return more
 
     # long stretches of Cyrillic first: their bytes can also be read as ideographs
-    found = take(model.stretches(text, taken, 4 * GAIN, CYRILLIC)) if sum("\x7f" < c < "\u2600" for c in text) >= 12 else []
+    runs = _runs_of(text)
+    found = take(model.stretches(runs, taken, 4 * GAIN, CYRILLIC)) if sum([r[1] - r[0] for r in runs]) >= 12 else []
     if not chars.isdisjoint(_firsts(False)):
         found += take([x for x in _automaton_spans(text, False, model) if not any(taken[x[0] : x[1]])])
     if not chars <= _usual() and not chars.isdisjoint(_firsts(True)):
         found += take([x for x in _automaton_spans(text, True, model) if not any(taken[x[0] : x[1]])])
-    found += take(model.stretches(text, taken, GAIN))
+    found += take(model.stretches(runs, taken, GAIN))
     for m in _NEVER.finditer(text):
         if not taken[m.start()]:
             found.append((m.start(), m.end(), "lost", m.group()))
     return sorted(found)
 
 
-def restore(text: str, model: Likelihood | None = None) -> tuple[str, int, list[str], int]:
+def restore(text: str, model: Likelihood | None = None, first: list[Span] | None = None) -> tuple[str, int, list[str], int]:
     """(restored text, number of replaced spans, pairs, characters not restorable).
 
     A stretch is restored as a whole: what looks correct alone goes with the rest of
     its stretch. Restoring goes on until nothing changes, so text garbled several
-    times comes back; a text seen before ends it."""
+    times comes back; a text seen before ends it. first: the text's spans, if known."""
     n, pairs, seen = 0, set(), {text}
     while True:
-        here = [s for s in spans(text, model) if s[2] != "lost" and s[3] != text[s[0] : s[1]]]
+        here, first = first if first is not None else spans(text, model), None
+        here = [s for s in here if s[2] != "lost" and s[3] != text[s[0] : s[1]]]
         out, at = [], 0
         for a, b, pair, orig in here:
             if a < at:
@@ -588,10 +604,25 @@ def garbled(documents: DataFrame, key: str, text: str) -> DataFrame:
         for b in batches:
             keep, rows = [], []
             for i, s in enumerate(b.column(1).to_pylist()):
-                if s and spans(s, model):
+                if s and (first := spans(s, model)):
                     keep.append(i)
-                    rows.append(restore(s, model))
+                    rows.append(restore(s, model, first))
             cols = list(zip(*rows, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.list_(pa.string())), pa.array(cols[3], pa.int32())], [key, "restored", "n_spans", "pairs", "n_lost"])
 
     return d.mapInArrow(run, schema)
+
+
+def garbled_keys(documents: DataFrame, key: str, text: str) -> DataFrame:
+    """Only the keys of what garbled() gives, without the work of restoring."""
+    ship(documents.sparkSession)
+    d = documents.select(key, text)
+    counts = documents.sparkSession.sparkContext.broadcast(corpus_counts(documents, text))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Likelihood(counts.value)
+        for b in batches:
+            keep = [i for i, s in enumerate(b.column(1).to_pylist()) if s and spans(s, model)]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64()))], [key])
+
+    return d.mapInArrow(run, T.StructType([d.schema[key]]))

@@ -93,4 +93,5 @@ def test_only_the_spans_change():
 def test_garbled_table(spark):
     df = spark.createDataFrame([(1, "cafÃ©"), (2, "café"), (3, None), (4, ""), (1, "cafÃ©"), (5, "x" * 200_000 + "â€œ")], "id int, t string").selectExpr("*", "1 as restored")
     assert sorted(r.id for r in G.garbled(df, "id", "t").collect()) == [1, 1, 5]
+    assert sorted(r.id for r in G.garbled_keys(df, "id", "t").collect()) == [1, 1, 5]
     assert G.garbled(df.limit(0), "id", "t").count() == 0
