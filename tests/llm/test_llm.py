@@ -64,6 +64,79 @@ def test_matches(spark):
     assert {r.target for r in L.match(v, e.limit(0)).collect()} == {None} and L.match(v.limit(0), e).count() == 0
 
 
+VOCABULARY = "evaluator confidence tariff chapter bandwidth namespace checkpoint checksum percentile record records data value field old quality address class id ns".split()
+
+
+def written(rng, word):
+    """A way of writing a word: as it is, plural, a slip, cut off, without vowels."""
+    i = rng.randrange(1, len(word))
+    return rng.choice([word, word, word.upper(), word + "s", word[:i] + word[i + 1 :], word[:i] + rng.choice("aeiouxyz") + word[i:], word[: max(4, len(word) - 3)], L._VOWELS.sub("", word)])
+
+
+def test_readings_are_complete(spark):
+    rng = random.Random(4)
+    typed = sorted({written(rng, w).lower() for w in VOCABULARY for _ in range(40)} | set(L.ABBREVIATIONS) | {"x" * 100, "zeppelin", "a"})
+    t, v = (spark.createDataFrame([(w,) for w in x], "w string") for x in (typed, VOCABULARY))
+    got = {r.w: set(r.to) for r in L.readings(t, v).collect()}
+    for w in typed:
+        near = {x: c for x in VOCABULARY if (c := L.word_cost(w, x)) is not None} if len(w) <= L.LONGEST_WORD else {}
+        assert bool(near) == (w in got)
+        if near:
+            assert got[w] <= {x for x, c in near.items() if c == min(near.values())} and got[w]
+    assert got["bw"] == {"bandwidth"} and got["check"] == {"checksum"} and got["record"] == {"record"}
+
+
+def test_no_match_is_lost_against_all_pairs(spark):
+    """Recall against brute force over all values and entries: exact copies of
+    entries made of fillers, abbreviations and run-together words included."""
+    rng = random.Random(11)
+    listed = ["old_data_value_ns", "raw_data_field_id", "new_item_name_xy", "bandwidth_namespace", "checkpoint"] + ["_".join(rng.sample(VOCABULARY[:9], rng.choice([2, 2, 3]))) for _ in range(25)]
+    entries = {x: f"f{i}" for i, x in enumerate(dict.fromkeys(listed))}
+    typed = list(entries) + ["bw ns", "ckpt", "BandwidthNs"]
+    for _ in range(250):
+        ws = [written(rng, w) for w in rng.choice(list(entries)).split("_")]
+        rng.shuffle(ws)
+        typed.append(rng.choice(["_", " ", "-", ""]).join(ws + rng.choice([[], [], ["tmp"], ["walrus"]])))
+    e = spark.createDataFrame([("n", f, x) for x, f in entries.items()], "block string, target string, text string")
+    v = spark.createDataFrame([("n", str(i), x) for i, x in enumerate(typed)], "block string, id string, text string")
+    got = {r.id: r.cost for r in L.match(v, e).collect()}
+    words = {x: L.words(x) for x in [*entries, *typed]}
+    seen = {w for x in entries for w in words[x]}
+    read = {}
+    for w in {w for x in typed for w in words[x]}:
+        near = {x: (c, abs(len(x) - len(w)) if c >= 4 else 0) for x in seen if (c := L.word_cost(w, x)) is not None}
+        if near:
+            read[w] = frozenset(x for x, c in near.items() if c == min(near.values()))
+    lost = 0
+    for i, x in enumerate(typed):
+        costs = [c for y in entries if (c := L.entry_cost(words[x], words[y], frozenset(L.FILLERS), {w: read[w] for w in words[x] if w in read})) is not None]
+        want = min(costs) if costs else None
+        assert got[str(i)] is None or got[str(i)] == want, (x, got[str(i)], want)
+        lost += got[str(i)] is None and want is not None
+    assert lost == 0 and sum(c is not None for c in got.values()) > 150
+    assert all(got[str(i)] == 0 for i in range(len(entries)))
+
+
+def test_long_values_and_entries_end():
+    w = [f"{a}{b}cdefgh" for a in "klmnpqrs" for b in "tvwx"]
+    assert L.entry_cost(w[:8], w[7::-1], frozenset()) == 0
+    assert L.entry_cost(w[:8], w[8:16], frozenset()) is None
+    assert L.entry_cost(["same"] * 8, ["same"] * 8, frozenset()) == 0
+    assert L.entry_cost(["samesame"] * 4, ["same"] * 8, frozenset()) == 0
+    assert L.entry_cost(["same"] * 9, ["same"] * 40, frozenset()) is None
+
+
+def test_a_hot_word_is_salted(spark, monkeypatch):
+    """A third of all values share one word and one block: the result is that of the broadcast."""
+    import loomcell.runtime as R
+
+    values = [("n", f"v{i}", "tariff chapter" if i % 3 == 0 else f"tariff w{i}") for i in range(300)]
+    v, e = spark.createDataFrame(values, "block string, id string, text string"), spark.createDataFrame([("n", f"f{i}", f"tariff w{i}") for i in range(100)] + [("n", "g", "tariff_chapter")], "block string, target string, text string")
+    once = {tuple(r) for r in L.match(v, e).collect()}
+    monkeypatch.setattr(R, "is_small", lambda *_: False)
+    assert {tuple(r) for r in L.match(v, e).collect()} == once and len(once) == 300
+
+
 @pytest.mark.parametrize("t", [0.25, 0.5, 0.8])
 def test_prefix_join_is_complete(spark, t):
     random.seed(5)
@@ -113,7 +186,8 @@ def test_components(spark, shape, salted, monkeypatch):
 
         if shape not in ("star", "random"):
             pytest.skip("one way is enough")
-        monkeypatch.setattr(R, "is_small", lambda *_: False)
+        assert R.lookup_join and K.SMALL > 0
+        monkeypatch.setattr(K, "SMALL", 0)
     df = spark.createDataFrame(pairs, "a string, b string")
     got = {tuple(r) for r in K.components(df, 2).collect()}
     assert got == union_find(pairs)
