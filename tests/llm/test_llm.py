@@ -118,7 +118,7 @@ def test_no_match_is_lost_against_all_pairs(spark):
 
 
 def test_long_values_and_entries_end():
-    w = [f"{a}{b}cdefgh" for a in "klmnpqrs" for b in "tvwx"]
+    w = [f"{a}{b}c{a}e{b}g{a}" for a in "klmnpqrs" for b in "tvwx"]
     assert L.entry_cost(w[:8], w[7::-1], frozenset()) == 0
     assert L.entry_cost(w[:8], w[8:16], frozenset()) is None
     assert L.entry_cost(["same"] * 8, ["same"] * 8, frozenset()) == 0
