@@ -20,11 +20,31 @@ def _refuse(name: str) -> None:
     raise NotJson(name)
 
 
+class Vast(Decimal):
+    """A number whose exponent no Decimal holds: it counts as a finite number that is
+    no integer, and compares by its own digits and exponent."""
+
+    spelling: str
+
+    def __new__(cls, spelling: str, tiny: bool) -> "Vast":
+        sign = "-" if spelling[0] == "-" else ""
+        x = super().__new__(cls, f"{sign}0" if tiny else f"{sign}Infinity")  # as near as a double gets
+        x.spelling = spelling
+        return x
+
+
 def _number(text: str) -> Decimal:
     try:
         return Decimal(text)
-    except InvalidOperation:  # an exponent beyond 10^18: a number still, but beyond every type
-        return Decimal("-Infinity" if text[0] == "-" else "Infinity")
+    except InvalidOperation:  # an exponent beyond 10^18
+        mantissa, _, exponent = text.lower().partition("e")
+        whole_, _, part = mantissa.lstrip("-").partition(".")
+        digits = (whole_ + part).lstrip("0")
+        if not digits:
+            return Decimal(0)
+        short = digits.rstrip("0")
+        exp = int(exponent) - len(part) + len(digits) - len(short)
+        return Vast(f"{'-' if text[0] == '-' else ''}{short}e{exp}", exp < 0)
 
 
 _DECODER = json.JSONDecoder(parse_int=_number, parse_float=_number, parse_constant=_refuse)
@@ -109,8 +129,8 @@ _PLAIN = 40
 
 def number_text(x: Decimal) -> str:
     """One spelling for each exact value: 1, 1.0 and 10e-1 are all "1"."""
-    if not x.is_finite():
-        return "-1e+" if x < 0 else "1e+"
+    if isinstance(x, Vast):
+        return x.spelling
     sign, digits, exp = x.as_tuple()
     d = "".join(map(str, digits)).lstrip("0")
     if not d:
@@ -172,9 +192,11 @@ _LOW, _HIGH = -(2**63), 2**63 - 1
 
 def whole(x: Decimal) -> int | None:
     """x as a signed 64-bit integer, None if it isn't one (3.0 is)."""
+    if isinstance(x, Vast):
+        return None
     if not x:
         return 0
-    if not x.is_finite() or x.adjusted() > 18 or x.adjusted() < 0:
+    if x.adjusted() > 18 or x.adjusted() < 0:
         return None
     n = int(x)
     return n if n == x and _LOW <= n <= _HIGH else None
