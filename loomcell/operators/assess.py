@@ -1,4 +1,4 @@
-"""Utility of fields, discovery of fields in records, consensus, decisions."""
+"""Discovery of fields in records, consensus, decisions."""
 
 from __future__ import annotations
 
@@ -13,34 +13,6 @@ from loomcell.functions import scalars as S
 from loomcell.operators import nested
 from loomcell.runtime import ship
 
-# Weights and bounds of the utility policy.
-COVERAGE, SUPPORT, DISTINCTNESS = 0.45, 0.40, 0.15
-MIN_AGE_DAYS, CONVERGE, REVIEW = 7.0, 0.15, 0.35
-
-
-def utility(f: DataFrame, coverage: DataFrame, support: DataFrame, redundancy: DataFrame, n_entities: Column, as_of: Column) -> DataFrame:
-    """Score and recommendation per field, from one aggregate per side, each unique
-    on field_id: coverage (n_cells, latest), support (n_views), redundancy."""
-    j = f.select(F.col("id").alias("field_id"), "status", "created_at", "updated_at").join(coverage, "field_id", "left").join(support, "field_id", "left").join(redundancy.select("field_id", "redundancy"), "field_id", "left")
-    n = F.coalesce("n_cells", F.lit(0))
-    cov = F.when(n_entities > 0, n / n_entities).otherwise(0.0)
-    views = F.coalesce("n_views", F.lit(0))
-    red = F.coalesce("redundancy", F.lit(0.0))
-    score = F.round(COVERAGE * cov + SUPPORT * F.when(views > 0, 1.0).otherwise(0.0) + DISTINCTNESS * (1 - red), 6)
-    out = j.select("field_id", "status", n.alias("n_cells"), views.alias("n_views"), red.alias("redundancy"), score.alias("score"), "latest", "updated_at", "created_at")
-    return _advise(out, n_entities, as_of)
-
-
-def _advise(o: DataFrame, n_entities: Column, as_of: Column) -> DataFrame:
-    n, views, s = F.col("n_cells"), F.col("n_views"), F.col("score")
-    empty, age = (n == 0) & (views == 0), S.age_days(F.col("created_at"), as_of)
-    advice = (F.when(~F.col("status").isin("active", "converged"), "keep")
-              .when(F.col("status") == "converged", F.when(S.strictly_after(F.col("latest"), F.col("updated_at")), "reactivate").otherwise("keep"))
-              .when(n_entities == 0, "insufficient_evidence").when(empty & (age < MIN_AGE_DAYS), "insufficient_evidence")
-              .when(empty & (s <= CONVERGE), "converge_candidate").when(s < REVIEW, "review").otherwise("keep"))
-    return o.select("field_id", "status", "n_cells", "n_views", "redundancy", "score", advice.alias("recommendation"))
-
-
 _TYPE = {"object": "object", "array": "array", "string": "text", "boolean": "boolean", "null": "null"}
 
 
@@ -109,7 +81,7 @@ def consensus(signals: DataFrame, conflicts: DataFrame) -> DataFrame:
     ind = F.col("independent_support")
     status = (F.when(F.col("n_bases") > 1, "basis_incompatible").when(F.col("n_types") > 1, "incompatible").when((F.col("raw_support") >= 2) & (ind <= 1), "insufficient_independence")
               .when(F.coalesce("n_conflicts", F.lit(0)) > 0, "disputed").when((ind >= 2) & (F.col("n_backends") >= 2) & (F.col("n_roots") >= 2), "strong_agreement")
-              .when(ind >= 2, "weak_agreement").otherwise("insufficient"))
+              .when(ind >= 2, "weak_agreement").otherwise("insufficient_independence"))
     return g.select("key", "raw_support", "independent_support", "n_backends", "n_roots", "n_types", status.alias("status"))
 
 

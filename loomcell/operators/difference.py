@@ -79,3 +79,21 @@ def differences(a: DataFrame, b: DataFrame, key: str, at: str, header: list[str]
     cells = left.groupBy("k", "name").agg(F.max(F.when(F.col("n") > 0, F.col("value"))).alias("expected"), F.max(F.when(F.col("n") < 0, F.col("value"))).alias("actual"))
     cells = cells.select("k", F.lit("both").alias("side"), F.col("name").alias("field_name"), "expected", "actual")
     return lone.unionByName(cells).withColumnRenamed("k", key)
+
+
+def unpivoted(df: DataFrame, key: str, values: str) -> DataFrame:
+    """The members of each row's object as cells: key, field_key, value_json in
+    canonical spelling. A null text has none; what is no object is one under `*`."""
+    ship(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, names, made = [], [], []
+            for i, text in enumerate(b.column(1).to_pylist()):
+                for n, v in members(text):
+                    at.append(i)
+                    names.append(n)
+                    made.append(v)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(names, pa.string()), pa.array(made, pa.string())], [key, "field_key", "value_json"])
+
+    return df.select(key, values).mapInArrow(run, f"{key} {dict(df.dtypes)[key]}, field_key string, value_json string")

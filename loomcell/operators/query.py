@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomcell.functions import scalars as S
 from loomcell.operators.store import page
+from loomcell.runtime import lookup_join
 
 
 def make_view(f: DataFrame, keys: list[str]) -> DataFrame:
@@ -116,9 +117,10 @@ def numeric_summary(c: DataFrame, within: float = float("inf")) -> DataFrame:
 def slots(c: DataFrame, view: DataFrame, ids: DataFrame) -> DataFrame:
     """Five-valued reads of entities over a registry slice: view (field_id,
     loaded): present, blank (JSON null), absent (no cell), unloaded (not selected)."""
-    # a view has at most 200 fields; they become an array that each asked entity explodes
-    sel = [F.struct(F.lit(r["field_id"]).alias("field_id"), F.lit(r["loaded"]).alias("loaded")) for r in view.select("field_id", "loaded").limit(200).collect()]
-    grid = ids.select("entity_id", F.explode(F.array(*sel)).alias("s")).select("entity_id", "s.*")
+    # every asked entity has every field of the view: the view goes to the entities,
+    # by broadcast if it is small, spread over copies of it otherwise
+    v = view.groupBy("field_id").agg(F.max("loaded").alias("loaded")).withColumn("__one", F.lit(1))
+    grid = lookup_join(ids.select("entity_id").withColumn("__one", F.lit(1)), v, "__one", spread=F.col("entity_id")).drop("__one")
     j = grid.join(c.select("entity_id", "field_id", "value_json"), ["entity_id", "field_id"], "left")
     state = F.when(~F.col("loaded"), "unloaded").when(F.col("value_json").isNull(), "absent").when(F.col("value_json") == "null", "blank").otherwise("present")
     return j.select("entity_id", "field_id", state.alias("state"), F.when(state == "present", F.col("value_json")).alias("value_json"))

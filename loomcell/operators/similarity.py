@@ -359,5 +359,5 @@ def families(f: DataFrame, pairs: DataFrame, seed: float = 0.78, coherence: floa
 
 def pair_metrics(scored: DataFrame, key: str, floor: float) -> DataFrame:
     """Least and mean score and number below the floor, per group of scored pairs."""
-    return scored.groupBy(key).agg(F.min("score").alias("min_score"), F.avg("score").alias("avg_score"), F.count_if(F.col("score") < floor).alias("n_conflicts"), F.count("*").alias("n_pairs"))
+    return scored.groupBy(key).agg(F.min("score").alias("min_score"), (F.sum(F.col("score").cast("decimal(18,6)")).cast("double") / F.count("score")).alias("avg_score"), F.count_if(F.col("score") < floor).alias("n_conflicts"), F.count("*").alias("n_pairs"))
 

@@ -83,8 +83,8 @@ def merge_maps(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 
 
 def changed_cells(new: DataFrame, stored: DataFrame) -> DataFrame:
-    """Only the cells whose value differs from the stored one or that are new."""
-    return new.join(stored.select("entity_id", "field_key", F.col("value_json").alias("old")), ["entity_id", "field_key"], "left").where(~F.col("value_json").eqNullSafe(F.col("old"))).drop("old")
+    """Only the cells whose value differs from the stored one or that are new (added)."""
+    return new.join(stored.select("entity_id", "field_key", F.col("value_json").alias("old"), F.lit(True).alias("have")), ["entity_id", "field_key"], "left").where(F.col("have").isNull() | ~F.col("value_json").eqNullSafe(F.col("old"))).withColumn("added", F.col("have").isNull()).drop("old", "have")
 
 
 def fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomcell.functions import scalars as S
-from loomcell.operators import assess, query as Q, refgraph, similarity, snapshot, store, verify
+from loomcell.operators import assess, difference, query as Q, refgraph, similarity, snapshot, store, verify
 from loomcell.plans.reads import C_, E_, F_, _candidates, _CUR_CAND
 from loomcell.plans.registry import C, E, FL, query
 from loomcell.runtime import latest, load, lookup_join, shared_dir
@@ -81,37 +81,21 @@ def e09_families(s, d):
     return similarity.families(f, similarity.scan(f))
 
 
-@query(f"WITH {_CUR_CAND} SELECT namespace, min(score) AS min_score, count(CASE WHEN score < 0.72 THEN 1 END) AS n_conflicts, count(*) AS n_pairs FROM x WHERE score IS NOT NULL GROUP BY 1")
+@query(f"WITH {_CUR_CAND} SELECT namespace, min(score) AS min_score, count(CASE WHEN score < 0.72 THEN 1 END) AS n_conflicts, count(*) AS n_pairs, round(CAST(sum(CAST(score AS DECIMAL(18, 6))) AS DOUBLE) / count(*), 6) AS avg_score FROM x WHERE score IS NOT NULL GROUP BY 1")
 def a10_pair_metrics(s, d):
     c = latest(load(s, d, "semantic_candidates"), ["source_kind", "source_ref", "candidate_field_id"], ["created_at"], ["namespace", "score"]).where("score is not null")
-    return similarity.pair_metrics(c, "namespace", 0.72).drop("avg_score")  # a mean's last digit depends on the order of adding
+    return similarity.pair_metrics(c, "namespace", 0.72).withColumn("avg_score", F.round("avg_score", 6))
 
 
 # ---- assessment
 
 
-_AS_OF = "TIMESTAMP '2026-07-01'"
-
-
-@query(f"""WITH {FL}, {E}, {C}, {_CUR_CAND}, cov AS (SELECT field_id, count(*) AS n, max(updated_at) AS latest FROM c GROUP BY 1), sup AS (SELECT field_id, count(*) AS n FROM field_aliases_d GROUP BY 1),
-field_aliases_d AS (SELECT DISTINCT id, field_id FROM field_aliases), y AS (SELECT source_ref AS field_id, score, candidate_field_id AS o FROM x UNION ALL SELECT candidate_field_id, score, source_ref FROM x), red AS (SELECT field_id, max(score) AS r FROM y WHERE field_id <> o GROUP BY 1),
-z AS (SELECT f.id AS field_id, f.status, coalesce(cov.n, 0) AS n_cells, coalesce(sup.n, 0) AS n_views, coalesce(red.r, 0.0) AS redundancy, cov.latest, f.updated_at,
-round(0.45 * coalesce(cov.n, 0) / (SELECT count(*) FROM e) + 0.40 * CASE WHEN coalesce(sup.n, 0) > 0 THEN 1 ELSE 0 END + 0.15 * (1 - coalesce(red.r, 0.0)), 6) AS score, date_diff('microsecond', f.created_at, {_AS_OF}) / 86400000000.0 AS age
-FROM f LEFT JOIN cov ON cov.field_id = f.id LEFT JOIN sup ON sup.field_id = f.id LEFT JOIN red ON red.field_id = f.id)
-SELECT field_id, status, n_cells, n_views, redundancy, score, CASE WHEN status NOT IN ('active', 'converged') THEN 'keep' WHEN status = 'converged' THEN CASE WHEN latest > updated_at THEN 'reactivate' ELSE 'keep' END
-WHEN n_cells = 0 AND n_views = 0 AND age < 7 THEN 'insufficient_evidence' WHEN n_cells = 0 AND n_views = 0 AND score <= 0.15 THEN 'converge_candidate' WHEN score < 0.35 THEN 'review' ELSE 'keep' END AS recommendation FROM z""".replace("sup AS (SELECT field_id, count(*) AS n FROM field_aliases_d GROUP BY 1),\nfield_aliases_d AS (SELECT DISTINCT id, field_id FROM field_aliases),", "sup AS (SELECT field_id, count(DISTINCT id) AS n FROM field_aliases GROUP BY 1),"))
-def u01_utility(s, d):
-    n = E_(s, d).count()
-    sup = load(s, d, "field_aliases").groupBy("field_id").agg(F.count_distinct("id").alias("n_views"))
-    return assess.utility(F_(s, d), Q.coverage(C_(s, d)).withColumnRenamed("n_cells", "n_cells"), sup, Q.redundancy(_candidates(s, d)), F.lit(n), F.lit("2026-07-01").cast("timestamp_ntz"))
-
-
 _SIG = "sg AS (SELECT user_id % 50 AS key, CAST(event_id % 20 AS INTEGER) AS run_id, user_id % 3 AS backend, user_id % 5 AS root, 1 AS basis, CASE WHEN user_id % 50 < 3 THEN event_type ELSE 'text' END AS value_type, event_id AS ordinal FROM events QUALIFY row_number() OVER (PARTITION BY user_id % 50, event_id % 20 ORDER BY event_id) = 1)"
 
 
 @query(f"""WITH {_SIG}, g AS (SELECT key, count(*) AS raw_support, count(DISTINCT (backend, root)) AS independent_support, count(DISTINCT backend) AS n_backends, count(DISTINCT root) AS n_roots, count(DISTINCT value_type) AS n_types FROM sg GROUP BY 1)
 SELECT key, raw_support, independent_support, n_backends, n_roots, n_types, CASE WHEN n_types > 1 THEN 'incompatible' WHEN raw_support >= 2 AND independent_support <= 1 THEN 'insufficient_independence' WHEN key % 7 = 3 THEN 'disputed'
-WHEN independent_support >= 2 AND n_backends >= 2 AND n_roots >= 2 THEN 'strong_agreement' WHEN independent_support >= 2 THEN 'weak_agreement' ELSE 'insufficient' END AS status FROM g""")
+WHEN independent_support >= 2 AND n_backends >= 2 AND n_roots >= 2 THEN 'strong_agreement' WHEN independent_support >= 2 THEN 'weak_agreement' ELSE 'insufficient_independence' END AS status FROM g""")
 def e15_consensus(s, d):
     ev = load(s, d, "events")
     sig = ev.select((F.col("user_id") % 50).alias("key"), (F.col("event_id") % 20).alias("run_id"), (F.col("user_id") % 3).alias("backend"), (F.col("user_id") % 5).alias("root"), F.lit(1).alias("basis"), F.when(F.col("user_id") % 50 < 3, F.col("event_type")).otherwise("text").alias("value_type"), F.col("event_id").alias("ordinal"))
@@ -144,28 +128,37 @@ b AS (SELECT * FROM store_records QUALIFY row_number() OVER (PARTITION BY entity
 
 
 def _two_copies(s: SparkSession, d: str):
-    """The source's and the store's records as entities and cells (one per record,
-    its values as written)."""
+    """The source's and the store's records as entities and cells, one per member of
+    their values, each in canonical spelling."""
     def side(t: str) -> DataFrame:
         return latest(load(s, d, t), ["entity_id"], ["observed_at"], ["kind", "label", "values_json"]).withColumnRenamed("entity_id", "id")
 
     def cells(df: DataFrame) -> DataFrame:
-        return df.where("values_json is not null").select(F.col("id").alias("entity_id"), F.lit("values").alias("field_key"), F.col("values_json").alias("value_json"), F.lit("sync").alias("source"))
+        return difference.unpivoted(df.where("values_json is not null").select(F.col("id").alias("entity_id"), "values_json"), "entity_id", "values_json").withColumn("source", F.lit("sync"))
 
     a, b = side("snapshot_records"), side("store_records")
     return a, b, cells(a), cells(b)
 
 
-@query(f"""WITH {_AB} SELECT coalesce(a.entity_id, b.entity_id) AS entity_id, CASE WHEN b.entity_id IS NULL THEN 'new' WHEN a.entity_id IS NULL THEN 'missing'
-WHEN a.kind IS DISTINCT FROM b.kind OR a.label IS DISTINCT FROM b.label OR (b.values_json IS NOT NULL AND a.values_json IS DISTINCT FROM b.values_json) THEN 'conflict' WHEN a.values_json IS NOT NULL AND b.values_json IS NULL THEN 'enrich' ELSE 'unchanged' END AS state FROM a FULL JOIN b ON a.entity_id = b.entity_id""")
+# Members of a side's values as rows; numbers by value, strings as they are written.
+_MEMBERS = """ca AS (SELECT entity_id, k, json_extract(values_json, '$."' || k || '"') AS v FROM (SELECT entity_id, values_json, unnest(json_keys(values_json)) AS k FROM a)),
+cb AS (SELECT entity_id, k, json_extract(values_json, '$."' || k || '"') AS v FROM (SELECT entity_id, values_json, unnest(json_keys(values_json)) AS k FROM b)),
+na AS (SELECT entity_id, k, CASE WHEN json_type(v) IN ('BIGINT', 'UBIGINT', 'DOUBLE', 'HUGEINT') THEN CAST(CAST(CAST(v AS VARCHAR) AS DECIMAL(38, 12)) AS VARCHAR) WHEN json_type(v) = 'VARCHAR' THEN 's' || (v ->> '$') ELSE CAST(v AS VARCHAR) END AS v FROM ca),
+nb AS (SELECT entity_id, k, CASE WHEN json_type(v) IN ('BIGINT', 'UBIGINT', 'DOUBLE', 'HUGEINT') THEN CAST(CAST(CAST(v AS VARCHAR) AS DECIMAL(38, 12)) AS VARCHAR) WHEN json_type(v) = 'VARCHAR' THEN 's' || (v ->> '$') ELSE CAST(v AS VARCHAR) END AS v FROM cb),
+cc AS (SELECT coalesce(na.entity_id, nb.entity_id) AS entity_id, count(CASE WHEN nb.k IS NULL THEN 1 END) AS n_add, count(CASE WHEN na.k IS NULL OR na.v <> nb.v THEN 1 END) AS n_bad FROM na FULL JOIN nb ON na.entity_id = nb.entity_id AND na.k = nb.k GROUP BY 1)"""
+
+
+@query(f"""WITH {_AB}, {_MEMBERS} SELECT coalesce(a.entity_id, b.entity_id) AS entity_id, CASE WHEN b.entity_id IS NULL THEN 'new' WHEN a.entity_id IS NULL THEN 'missing'
+WHEN a.kind IS DISTINCT FROM b.kind OR a.label IS DISTINCT FROM b.label OR coalesce(n_bad, 0) > 0 THEN 'conflict' WHEN coalesce(n_add, 0) > 0 THEN 'enrich' ELSE 'unchanged' END AS state,
+coalesce(n_add, 0) AS n_add, coalesce(n_bad, 0) AS n_bad FROM a FULL JOIN b ON a.entity_id = b.entity_id LEFT JOIN cc ON cc.entity_id = coalesce(a.entity_id, b.entity_id)""")
 def m01_entity_plan(s, d):
-    return snapshot.entity_plan(*_two_copies(s, d)).select("entity_id", "state")
+    return snapshot.entity_plan(*_two_copies(s, d))
 
 
-@query(f"WITH {_AB} SELECT a.entity_id FROM a LEFT JOIN b ON a.entity_id = b.entity_id WHERE a.values_json IS NOT NULL AND a.values_json IS DISTINCT FROM b.values_json")
+@query(f"WITH {_AB}, {_MEMBERS} SELECT na.entity_id, na.k AS field_key, nb.k IS NULL AS added FROM na LEFT JOIN nb ON na.entity_id = nb.entity_id AND na.k = nb.k WHERE nb.k IS NULL OR na.v <> nb.v")
 def m07_changed_cells(s, d):
     _, _, a, b = _two_copies(s, d)
-    return snapshot.changed_cells(a, b).select("entity_id")
+    return snapshot.changed_cells(a, b).select("entity_id", "field_key", "added")
 
 
 @query(f"""WITH {_AB} SELECT coalesce(a.entity_id, b.entity_id) AS entity_id, coalesce(a.kind, b.kind) AS kind, CASE WHEN b.entity_id IS NULL THEN 'new' WHEN a.entity_id IS NULL THEN 'missing' WHEN a.kind IS DISTINCT FROM b.kind THEN 'reassigned' WHEN a.label IS DISTINCT FROM b.label THEN 'changed' ELSE 'unchanged' END AS state

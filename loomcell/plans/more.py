@@ -60,11 +60,11 @@ def a11_distinct_sets(s, d):
     return load(s, d, "field_agent_actions").groupBy("intent").agg(F.count_distinct("run_id").alias("n_runs"), F.count_distinct("outcome").alias("n_outcomes"), F.array_join(F.array_sort(F.collect_set("capability_decision")), ",").alias("decisions"))
 
 
-@query(f"WITH {_CUR_CAND}, y AS (SELECT source_ref AS member, score FROM x WHERE source_kind = 'field' UNION ALL SELECT candidate_field_id, score FROM x WHERE source_kind = 'field') SELECT member, min(score) AS min_score, CAST(sum(CAST(round(score * 10000) AS BIGINT)) AS BIGINT) AS score_sum FROM y WHERE score IS NOT NULL GROUP BY 1")
+@query(f"WITH {_CUR_CAND}, y AS (SELECT source_ref AS member, score FROM x WHERE source_kind = 'field' UNION ALL SELECT candidate_field_id, score FROM x WHERE source_kind = 'field') SELECT member, min(score) AS min_score, round(CAST(sum(CAST(score AS DECIMAL(18, 6))) AS DOUBLE) / count(*), 6) AS avg_score, count(*) AS n_peers FROM y WHERE score IS NOT NULL GROUP BY 1")
 def a13_peer_scores(s, d):
     c = _candidates(s, d).where("source_kind = 'field' and score is not null")
     both = c.select(F.col("source_ref").alias("member"), "score").unionByName(c.select(F.col("candidate_field_id").alias("member"), "score"))
-    return both.groupBy("member").agg(F.min("score").alias("min_score"), F.sum(F.round(F.col("score") * 10000).cast("bigint")).alias("score_sum"))
+    return both.groupBy("member").agg(F.min("score").alias("min_score"), F.round(F.sum(F.col("score").cast("decimal(18,6)")).cast("double") / F.count("*"), 6).alias("avg_score"), F.count("*").alias("n_peers"))
 
 
 @query("SELECT o_orderpriority, o_orderstatus, count(*) AS n FROM orders GROUP BY ROLLUP (o_orderpriority, o_orderstatus)")
@@ -177,9 +177,9 @@ def v02_content_addresses(s, d):
     return lookup_join(a, a.groupBy("digest").agg(F.count("*").alias("n_same")), "digest", spread=F.col("doc_id")).select("doc_id", "digest", "n_same")
 
 
-@query(f"WITH {C} SELECT field_id, count(*) AS n, approx_count_distinct(value_json) > 0 AS some FROM c GROUP BY 1")
-def xa_distinct_estimate(s, d):
-    return C_(s, d).groupBy("field_id").agg(F.count("*").alias("n"), (F.approx_count_distinct("value_json") > 0).alias("some"))
+@query(f"WITH {C} SELECT field_id, count(*) AS n, count(DISTINCT value_json) AS n_values FROM c GROUP BY 1")
+def xa_distinct_values(s, d):
+    return C_(s, d).groupBy("field_id").agg(F.count("*").alias("n"), F.count_distinct("value_json").alias("n_values"))
 
 
 @query("SELECT c_custkey, rank, o_orderkey FROM (SELECT o_custkey AS c_custkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS INTEGER) AS rank, o_orderkey FROM orders) WHERE rank <= 2")

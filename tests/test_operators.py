@@ -151,17 +151,6 @@ def test_rare_token_blocks_are_bounded(spark):
     assert p.count() == 100
 
 
-def test_utility_ladder(spark):
-    f = registry(spark, ["a", "b", "c", "d"]).withColumn("status", F.when(F.col("key") == "c", "converged").when(F.col("key") == "d", "split").otherwise("active"))
-    cov = spark.createDataFrame([("f000", 9, T0), ("f002", 1, T0 + timedelta(1))], "field_id string, n_cells bigint, latest timestamp_ntz")
-    sup = spark.createDataFrame([("f000", 1)], "field_id string, n_views bigint")
-    red = spark.createDataFrame([], "field_id string, redundancy double")
-    got = {r.field_id: r.recommendation for r in assess.utility(f, cov, sup, red, F.lit(10), F.lit(datetime(2025, 3, 1))).collect()}
-    assert got == {"f000": "keep", "f001": "converge_candidate", "f002": "reactivate", "f003": "keep"}
-    young = {r.field_id: r.recommendation for r in assess.utility(f, cov, sup, red, F.lit(10), F.lit(datetime(2025, 1, 3))).collect()}
-    assert young["f001"] == "insufficient_evidence"
-
-
 def test_discovery(spark):
     text = '{"records": [{"score": 1, "m": {"n": true}, "tags": ["a"]}, {"score": "high", "m": {"n": false}}]}'
     got = {r.key: (r.value_type, r.confidence, r.n_values) for r in assess.discover(spark.createDataFrame([("1", text), ("2", "{")], "record_id string, value string")).collect()}
@@ -173,7 +162,7 @@ def test_consensus_precedence(spark):
             ("same", 1, "x", "r1", 1, "t", 1), ("same", 2, "x", "r1", 1, "t", 1), ("bad", 1, "x", "r1", 1, "t", 1), ("bad", 2, "y", "r2", 1, "t", 1), ("basis", 1, "x", "r1", 1, "t", 1), ("basis", 2, "x", "r1", 2, "t", 1), ("alone", 1, "x", "r", 1, "t", 1), ("alone", 1, "x", "r", 1, "u", 2)]
     s = spark.createDataFrame(rows, "key string, run_id int, backend string, root string, basis int, value_type string, ordinal int")
     got = {r.key: r.status for r in assess.consensus(s, spark.createDataFrame([("bad", 1)], "key string, n_conflicts int")).collect()}
-    assert got == {"strong": "strong_agreement", "weak": "weak_agreement", "types": "incompatible", "same": "insufficient_independence", "bad": "disputed", "basis": "basis_incompatible", "alone": "insufficient"}
+    assert got == {"strong": "strong_agreement", "weak": "weak_agreement", "types": "incompatible", "same": "insufficient_independence", "bad": "disputed", "basis": "basis_incompatible", "alone": "insufficient_independence"}
 
 
 def test_greedy_fill_skips_what_does_not_fit(spark):
