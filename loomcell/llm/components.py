@@ -26,11 +26,13 @@ def _both(pairs: DataFrame) -> DataFrame:
 
 
 def _hook(edges: DataFrame) -> DataFrame:
-    """Each vertex's smallest neighbour or itself, three times followed: v, to."""
+    """Each vertex's smallest neighbour or itself, three times followed: v, to. Many
+    vertices may follow one and the same, so its row goes out salted or broadcast."""
     up = spool(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("to")))
     step = up.select(F.col("v").alias("k"), F.col("to").alias("far"))
+    n = up.count()
     for _ in range(3):
-        up = up.select("v", F.col("to").alias("k")).join(step, "k").select("v", F.col("far").alias("to"))
+        up = lookup_join(up.select("v", F.col("to").alias("k")), step, "k", spread=F.col("v"), rows=SMALL, n_small=n).select("v", F.col("far").alias("to"))
     return spool(up)
 
 

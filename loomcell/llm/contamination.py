@@ -170,7 +170,8 @@ def _per_feature(df: DataFrame, width: int, work: Callable[[np.ndarray, np.ndarr
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *(pa.array(total[part, c]) for c in range(width))], ["f", *(f"c{c}" for c in range(width))])
 
     cols = [f"c{c}" for c in range(width)]
-    parts = df.select("u").mapInArrow(run, "f int, " + ", ".join(f"{c} double" for c in cols))
+    # a matrix per core, not per split of the table: what is shuffled doesn't grow with the data
+    parts = df.select("u").coalesce(df.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, "f int, " + ", ".join(f"{c} double" for c in cols))
     t = parts.groupBy("f").agg(*[F.sum(c).alias(c) for c in cols]).toArrow()
     out = np.zeros((FEATURES, width))
     out[np.asarray(t["f"])] = np.column_stack([np.asarray(t[c]) for c in cols])
@@ -243,17 +244,21 @@ class _Index:
     dimensions; a value within rounding of the edge stands in both buckets, so a
     vector equal but for rounding always looks where it is found."""
 
-    def __init__(self, vectors: np.ndarray, items: np.ndarray) -> None:
+    def __init__(self, vectors: np.ndarray, passage_of: np.ndarray, items: np.ndarray) -> None:
         near = np.abs(vectors[:, :_BITS] - _EDGE) < _SLACK
         codes, at = _codes(vectors), np.arange(len(vectors))
         for d in range(_BITS):
             both = near[at, d]
             codes, at = np.concatenate([codes, codes[both] ^ (1 << d)]), np.concatenate([at, at[both]])
         order = np.argsort(codes, kind="stable")
-        self.codes, self.at, self.vectors, self.items = codes[order], at[order], vectors, items
+        self.codes, self.at, self.vectors = codes[order], at[order], vectors
+        # the items of each passage: equal ones, as of a standing instruction, stand here once
+        by = np.argsort(passage_of, kind="stable")
+        self.items, self.starts = items[by], np.searchsorted(passage_of[by], np.arange(len(vectors) + 1))
 
     def near(self, x: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-        """(row of x, item) of all pairs in one bucket with at least that cosine."""
+        """(row of x, item) of all pairs in one bucket with at least that cosine. Equal
+        passages are compared once, then stand for all their items."""
         c = _codes(x)
         lo, hi = np.searchsorted(self.codes, c), np.searchsorted(self.codes, c, "right")
         n = hi - lo
@@ -264,7 +269,10 @@ class _Index:
             s = slice(i, i + _CHUNK * 8)
             a, b = x[rows[s]], self.vectors[at[s]]
             keep[s] = ((a * b).sum(1) >= least) | (~a.any(1) & ~b.any(1))
-        return rows[keep], self.items[at[keep]]
+        rows, at = rows[keep], at[keep]
+        n = self.starts[at + 1] - self.starts[at]
+        out = np.repeat(self.starts[at], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return np.repeat(rows, n), self.items[out]
 
 
 def runs_of(u: np.ndarray, n: int) -> set[bytes]:
@@ -317,7 +325,8 @@ def leaked_runs(documents: DataFrame, key: str, text: str, items: DataFrame, ite
             idf_, basis_ = model.value
             ids, us = block.value
             rows, m = cut(np.concatenate(us), np.concatenate([[0], np.cumsum([len(u) for u in us])]), PASSAGE, 1)
-            index = _Index(_unit_length(_project(m, idf_, basis_)), rows)
+            different, of = np.unique(m, axis=0, return_inverse=True)
+            index = _Index(_unit_length(_project(different, idf_, basis_)), of.ravel(), rows)
             item_runs: dict[int, set[bytes]] = {}
             for b in batches:
                 flat, offsets = _flat(b.column(1))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomcell.runtime import ship, spool
+from loomcell.runtime import ship, spool, spread_previous
 
 #: Vocabulary file of the tokenizer and the pattern that splits texts before it.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -68,7 +68,10 @@ def blocks(counted: DataFrame, block_tokens: int = BLOCK_TOKENS, seed: int = SEE
     before = sums.select("source", "g", F.coalesce(F.sum("t").over(Window.partitionBy("source").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     inner = Window.partitionBy("source", "g").orderBy(F.shiftrightunsigned(F.col("h"), 11), "id").rowsBetween(Window.unboundedPreceding, -1)
     own = g.withColumn("own", F.coalesce(F.sum("tokens").over(inner), F.lit(0)))
-    return own.join(before, ["source", "g"]).select("id", "source", "tokens", F.floor((F.col("before") + F.col("own")) / block_tokens).alias("block"))
+    cut = own.join(before, ["source", "g"]).select("id", "source", "tokens", "h", F.floor((F.col("before") + F.col("own")) / block_tokens).alias("block"))
+    # a block holds no more documents than tokens
+    within = Window.partitionBy("source", "block").orderBy(F.shiftrightunsigned(F.col("h"), 11), "id")
+    return cut.select("id", "source", "tokens", "block", (F.row_number().over(within) - 1).alias("place"))
 
 
 def _plan(cut: DataFrame, targets: DataFrame, total_tokens: int | None) -> DataFrame:
@@ -112,20 +115,31 @@ def schedule(cut: DataFrame, plan: DataFrame, block_tokens: int = BLOCK_TOKENS)
     return full.select("slot", "source", (F.col("rank") % F.col("nb")).alias("block"), F.floor(F.col("rank") / F.col("nb")).alias("repeat"))
 
 
-def uses(documents: DataFrame, key: str, source: str, text: str, targets: DataFrame, total_tokens: int | None = None,
-         block_tokens: int = BLOCK_TOKENS, vocabulary: str = VOCABULARY, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """(how often each document stands in the mix, the plan per source).
+def mix(documents: DataFrame, key: str, source: str, text: str, targets: DataFrame, total_tokens: int | None = None,
+        block_tokens: int = BLOCK_TOKENS, vocabulary: str = VOCABULARY, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+    """(the mix, the plan per source). The mix has a row per document and use: slot
+    (its order), place (order within the slot), source, block, repeat, id, tokens;
+    written in the order of slot and place it is the training text.
 
-    total_tokens: size of the mix, by default that of all documents with a target."""
+    total_tokens: size of the mix, by default that of all documents with a target.
+    Null and empty texts, and sources without a target, are in no slot."""
     cut = spool(blocks(token_counts(documents, key, source, text, vocabulary), block_tokens, seed))
     plan = _plan(cut, targets, total_tokens)
-    # a gap in the numbering (a document longer than a block) leaves no empty block behind
-    dense = cut.select("source", "block").distinct()
-    dense = dense.withColumn("nth", F.row_number().over(Window.partitionBy("source").orderBy("block")) - 1)
-    slots = schedule(cut, plan, block_tokens)
-    per_block = slots.groupBy("source", F.col("block").alias("nth")).agg(F.count("*").alias("n_uses"))
-    used = cut.join(dense.join(per_block, ["source", "nth"]), ["source", "block"]).select("id", "source", "tokens", "n_uses")
-    return used, plan
+    # a gap in the numbering (a document longer than a block) leaves no empty block behind;
+    # the blocks of a source are numbered over many ranges
+    dense = cut.select("source", "block").distinct().withColumn("__v", F.lit(0))
+    dense = spread_previous(dense, "source", ["block"], "__v").select("source", "block", F.col("nth").cast("bigint").alias("nth"))
+    slots = schedule(cut, plan, block_tokens).withColumnRenamed("block", "nth")
+    filled = slots.join(dense, ["source", "nth"])  # a block has at most max_repeats slots
+    m = filled.join(cut, ["source", "block"]).select("slot", "place", "source", F.col("nth").alias("block"), "repeat", "id", "tokens")
+    return m, plan
+
+
+def uses(documents: DataFrame, key: str, source: str, text: str, targets: DataFrame, total_tokens: int | None = None,
+         block_tokens: int = BLOCK_TOKENS, vocabulary: str = VOCABULARY, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+    """(how often each document stands in the mix, the plan per source)."""
+    m, plan = mix(documents, key, source, text, targets, total_tokens, block_tokens, vocabulary, seed)
+    return m.groupBy("id", "source").agg(F.max("tokens").alias("tokens"), F.count("*").alias("n_uses")), plan
 
 
 def report(used: DataFrame, plan: DataFrame) -> DataFrame:

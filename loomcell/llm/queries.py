@@ -65,6 +65,12 @@ def p8_paraphrases(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The mix itself: which document stands in which slot, in order."""
+    m, _ = mixing.mix(load(spark, d, "documents"), "doc_id", "source", "text", load(spark, d, "mix_targets"))
+    return m.withColumnRenamed("id", "doc_id")
+
+
+def p9_uses(spark: SparkSession, d: str) -> DataFrame:
     used, _ = mixing.uses(load(spark, d, "documents"), "doc_id", "source", "text", load(spark, d, "mix_targets"))
     return used.withColumnRenamed("id", "doc_id")
 
@@ -81,6 +87,6 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
     return garbled.garbled(load(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_groups, p5_found, p5_matches, p6_found, p8_found, p8_paraphrases, p9_mix, p9_shares, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_groups, p5_found, p5_matches, p6_found, p8_found, p8_paraphrases, p9_mix, p9_uses, p9_shares, p10_found, p10_restored)}
 
 ORACLE: dict[str, str] = {}

@@ -21,6 +21,7 @@ from loomcell.runtime import lookup_join, ship, spool
 # Cyrillic and Greek letters drawn like Latin ones.
 _LETTERS = (
     ("аеорсухіјѕһԁԛԝѵӏүоϲϳον", "aeopcyxijshdqwvlyocjov"),
+    ("αικρυ", "aikpu"),
     ("АВЕКМНОРСТУХІЈЅԚԜԌѴҮӀ", "ABEKMHOPCTYXIJSQWGVYI"),
     ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿ", "ABEZHIKMNOPTYXCJ"),
 )

@@ -303,6 +303,23 @@ def test_shares_caps_and_unmet_targets(spark, monkeypatch):
     assert {x.most_uses for x in M.report(small, p2).collect() if x.source == "small"} == {2}
 
 
+def test_every_stretch_of_the_mix_has_the_shares(spark):
+    docs = spark.range(9000).selectExpr("cast(id as int) as id", "case when id % 10 < 6 then 'a' when id % 10 < 9 then 'b' else 'c' end as source", "concat('word', id, ' other') as text")
+    t = spark.createDataFrame([("a", 0.5, 2), ("b", 0.3, 2), ("c", 0.2, 9)], "source string, target_share double, max_repeats int")
+    m, _ = M.mix(docs, "id", "source", "text", t, block_tokens=8)
+    rows = sorted((r.slot, r.place, r.source, r.block, r.repeat, r.id) for r in m.collect())
+    first = {}
+    for slot, _, source, *_ in rows:
+        first[slot] = source
+    assert sorted(first) == list(range(len(first))) and len(first) > 3000
+    for a in range(0, len(first) - 1000, 500):
+        for s, share in (("a", 0.5), ("b", 0.3), ("c", 0.2)):
+            assert abs(sum(first[i] == s for i in range(a, a + 1000)) / 1000 - share) < 0.01
+    assert len({(s, r, i) for _, _, s, _, r, i in rows}) == len(rows)  # a document once per repeat
+    used, _ = M.uses(docs, "id", "source", "text", t, block_tokens=8)
+    assert used.agg({"n_uses": "sum"}).first()[0] == len(rows)
+
+
 def test_mix_of_nothing(spark):
     docs = spark.createDataFrame([], "id int, source string, text string")
     t = spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int")
