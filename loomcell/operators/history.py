@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomcell.runtime import spool
+from loomcell.runtime import has_hot_key, spool, spread_next, spread_previous
 
 #: Observations folded in one array (a power of two).
 CHUNK_BITS = 8
@@ -38,11 +38,18 @@ def history(obs: DataFrame, key: str, at: str, tie: str, value: str, chunk_bits:
     folded = folded.select("k", "chunk", F.aggregate("s", none, lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["v"] == x["v"]), acc).otherwise(F.concat(acc, F.array(x)))).alias("vs"))
     folded = spool(folded)  # chunk numbers must be the same for both uses below
     ends = folded.select("k", "chunk", F.element_at("vs", 1).alias("head"), F.element_at("vs", -1)["v"].alias("last_v"), F.when(F.size("vs") > 1, F.element_at("vs", 2)).alias("second"))
-    w = Window.partitionBy("k").orderBy("chunk")
-    ends = ends.withColumn("goes_on", F.coalesce(F.lag("last_v").over(w) == F.col("head.v"), F.lit(False)))
-    ends = ends.withColumn("opens", F.when(~F.col("goes_on"), F.col("head")).otherwise(F.col("second")))
-    later = Window.partitionBy("k").orderBy(F.desc("chunk")).rowsBetween(Window.unboundedPreceding, -1)
-    ends = ends.select("k", "chunk", "goes_on", F.last("opens", ignorenulls=True).over(later).alias("next_open"))
+    if has_hot_key(ends, "k"):  # even its chunks are too many for one task
+        ends = spread_previous(ends, "k", ["chunk"], "last_v").withColumnRenamed("prev", "before").drop("nth")
+    else:
+        ends = ends.withColumn("before", F.lag("last_v").over(Window.partitionBy("k").orderBy("chunk")))
+    ends = ends.withColumn("goes_on", F.coalesce(F.col("before") == F.col("head.v"), F.lit(False)))
+    # a chunk that only goes on opens nothing, and nothing in it needs an end
+    ends = ends.withColumn("opens", F.when(~F.col("goes_on"), F.col("head")).otherwise(F.col("second"))).where("opens is not null")
+    if has_hot_key(ends, "k"):
+        ends = spread_next(ends, "k", ["chunk"], "opens", "next_open")
+    else:
+        ends = ends.withColumn("next_open", F.lead("opens").over(Window.partitionBy("k").orderBy("chunk")))
+    ends = ends.select("k", "chunk", "goes_on", "next_open")
     joined = folded.join(ends, ["k", "chunk"])
     kept = F.when(F.col("goes_on"), F.slice("vs", 2, F.greatest(F.size("vs") - 1, F.lit(0)))).otherwise(F.col("vs"))
     joined = joined.select("k", "next_open", kept.alias("vs"))

@@ -138,6 +138,19 @@ def node_rows(records: DataFrame) -> DataFrame:
         walk, "source_table string, record_id string, pre int, post int, level int, kind string, is_element boolean, name string, node_path string, value string, parent_pre int")
 
 
+#: Node tables: the kinds that each holds.
+NODE_TABLES = {"objects": ("object",), "arrays": ("array",), "scalars": ("string", "number", "boolean", "null")}
+
+
+def node_tables(records: DataFrame) -> dict[str, DataFrame]:
+    """One table per node type, linked by their interval labels: objects and arrays
+    (with the number of their direct children), scalars (with their value). parent_pre
+    is the pre of the enclosing object or array of the same record."""
+    n = node_rows(records)
+    link = ["source_table", "record_id", "pre", "post", "level", "parent_pre", "is_element", "name", "node_path"]
+    return {t: n.where(F.col("kind").isin(*kinds)).select(*link, *(["kind", "value"] if t == "scalars" else [])) for t, kinds in NODE_TABLES.items()}
+
+
 def array_objects(records: DataFrame) -> DataFrame:
     """Objects that are elements of arrays, each linked to the innermost such
     object around it: source_table, record_id, node_path, parent_path ('' if none)."""

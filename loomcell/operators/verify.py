@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomcell.runtime import ship
+from loomcell.runtime import ship, spool
 
 DEPTH = 256
 
@@ -132,35 +132,112 @@ def entity_digests(cells: DataFrame) -> DataFrame:
     return cells.groupBy("entity_id").agg(F.sha2(F.array_join(lines, "\n"), 256).alias("digest"), F.count("*").alias("n_cells"))
 
 
-def chunks(files: DataFrame, size: int) -> DataFrame:
-    """files (file_id, content binary) cut into chunks: chunk, length, digest of
-    domain, number, length and bytes."""
-    n = F.greatest(F.ceil(F.length("content") / size), F.lit(1))
-    c = files.select("file_id", "content", F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk"))
-    part = F.substring("content", F.col("chunk").cast("int") * size + 1, F.lit(size))
-    c = c.select("file_id", F.col("chunk").cast("int").alias("chunk"), part.alias("bytes"))
-    be = lambda x: F.unhex(F.lpad(F.hex(x.cast("bigint")), 16, "0"))
-    return c.select("file_id", "chunk", F.length("bytes").alias("length"), F.sha2(F.concat(F.lit(b"\x03"), be(F.col("chunk")), be(F.length("bytes")), F.col("bytes")), 256).alias("digest"))
+#: First bytes of what is hashed for a chunk, for the padding and for a node. They
+#: separate the three kinds; a store with other ones gives its own.
+DOMAINS = (b"\x03", b"\x04pad", b"\x05")
 
 
-def range_roots(chunked: DataFrame) -> DataFrame:
-    """file_id, n_chunks, tree_depth, root: digests padded to a power of two and
-    hashed pairwise, level by level, as equi-aggregates on (file, half the number);
-    no file's chunks are gathered in one task before its tree has shrunk."""
+def chunks(files: DataFrame, size: int, domains: tuple[bytes, bytes, bytes] = DOMAINS) -> DataFrame:
+    """files (file_id, content binary) cut into chunks: file_id, chunk, length, digest
+    of domain, number, length and bytes. One pass over each content; an empty one is
+    one empty chunk, a null one none."""
+    ship(files.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, number, length, digest = [], [], [], []
+            for i, content in enumerate(b.column(1)):
+                if not content.is_valid:
+                    continue
+                data = memoryview(content.as_buffer())
+                for k in range(max(1, -(-len(data) // size))):
+                    part = data[k * size : (k + 1) * size]
+                    h = hashlib.sha256(domains[0] + k.to_bytes(8, "big") + len(part).to_bytes(8, "big"))
+                    h.update(part)
+                    at.append(i)
+                    number.append(k)
+                    length.append(len(part))
+                    digest.append(h.hexdigest())
+            cols = [b.column(0).take(pa.array(at, pa.int64())), pa.array(number, pa.int32()), pa.array(length, pa.int32()), pa.array(digest, pa.string())]
+            yield pa.RecordBatch.from_arrays(cols, ["file_id", "chunk", "length", "digest"])
+
+    return files.select("file_id", "content").mapInArrow(run, f"file_id {dict(files.dtypes)['file_id']}, chunk int, length int, digest string")
+
+
+def _big_endian(x: F.Column) -> F.Column:
+    return F.unhex(F.lpad(F.hex(x.cast("bigint")), 16, "0"))
+
+
+def _node(left: F.Column, right: F.Column, domains: tuple[bytes, bytes, bytes]) -> F.Column:
+    return F.sha2(F.concat(F.lit(domains[2]), F.unhex(left), F.unhex(right)), 256)
+
+
+def range_tree(chunked: DataFrame, domains: tuple[bytes, bytes, bytes] = DOMAINS) -> DataFrame:
+    """All nodes over the chunks of each file: file_id, n_chunks, tree_depth, level
+    (0: chunks and padding), at, digest. A file's chunks are padded by position to a
+    power of two and hashed pairwise, level by level, as equi-aggregates on (file,
+    half the number): no file's chunks are gathered in one task."""
     n = chunked.groupBy("file_id").agg(F.count("*").alias("n_chunks"))
-    n = n.withColumn("tree_depth", F.length(F.when(F.col("n_chunks") > 1, F.bin(F.col("n_chunks") - 1)).otherwise("")))
-    deep = n.agg(F.max("tree_depth")).first()[0] or 0
-    pad = F.sha2(F.lit(b"\x04pad"), 256)
-    level = chunked.select("file_id", F.col("chunk").alias("at"), "digest").join(n.select("file_id", "tree_depth"), "file_id")
-    empty = pad
-    for d in range(int(deep)):
-        pair = level.groupBy("file_id", "tree_depth", F.shiftright("at", 1).alias("at2")).agg(
-            F.max(F.when(F.col("at") % 2 == 0, F.col("digest"))).alias("l"), F.max(F.when(F.col("at") % 2 == 1, F.col("digest"))).alias("r"), F.max("digest").alias("own"), F.max("at").alias("at"))
-        up = F.sha2(F.concat(F.lit(b"\x05"), F.unhex("l"), F.unhex(F.coalesce("r", empty))), 256)
-        grown = F.col("tree_depth") > d
-        level = pair.select("file_id", "tree_depth", F.when(grown, F.col("at2")).otherwise(F.col("at")).alias("at"), F.when(grown, up).otherwise(F.col("own")).alias("digest"))
-        empty = F.sha2(F.concat(F.lit(b"\x05"), F.unhex(empty), F.unhex(empty)), 256)
-    return level.join(n.select("file_id", "n_chunks"), "file_id").select("file_id", "n_chunks", "tree_depth", F.col("digest").alias("root"))
+    n = n.withColumn("tree_depth", F.length(F.when(F.col("n_chunks") > 1, F.bin(F.col("n_chunks") - 1)).otherwise(""))).withColumn("width", F.expr("shiftleft(1L, tree_depth)"))
+    n = spool(n)
+    pads = n.where("width > n_chunks").select("file_id", F.explode(F.sequence("n_chunks", F.col("width") - 1)).alias("at")).withColumn("digest", F.sha2(F.concat(F.lit(domains[1]), _big_endian(F.col("at"))), 256))
+    level = spool(chunked.select("file_id", F.col("chunk").cast("bigint").alias("at"), "digest").unionByName(pads))
+    levels = [level.withColumn("level", F.lit(0))]
+    for d in range(int(n.agg(F.max("tree_depth")).first()[0] or 0)):
+        half = level.groupBy("file_id", F.shiftright("at", 1).alias("at2")).agg(F.count("*").alias("k"), F.max(F.when(F.col("at") % 2 == 0, F.col("digest"))).alias("l"), F.max(F.when(F.col("at") % 2 == 1, F.col("digest"))).alias("r"))
+        level = spool(half.where("k = 2").select("file_id", F.col("at2").alias("at"), _node(F.col("l"), F.col("r"), domains).alias("digest")))  # a file's root has no other half
+        levels.append(level.withColumn("level", F.lit(d + 1)))
+    return reduce(DataFrame.unionByName, levels).join(n.drop("width"), "file_id").select("file_id", "n_chunks", "tree_depth", "level", "at", "digest")
+
+
+def range_roots(chunked: DataFrame, domains: tuple[bytes, bytes, bytes] = DOMAINS) -> DataFrame:
+    """file_id, n_chunks, tree_depth, root of each file's tree."""
+    return range_tree(chunked, domains).where("level = tree_depth").select("file_id", "n_chunks", "tree_depth", F.col("digest").alias("root"))
+
+
+def chunk_proofs(tree: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (file_id, chunk) with the siblings from the chunk up to the root:
+    file_id, chunk, tree_depth, root, siblings. What no file has gets no proof."""
+    roots = tree.where("level = tree_depth").select("file_id", "n_chunks", "tree_depth", F.col("digest").alias("root"))
+    w = wanted.select("file_id", F.col("chunk").cast("bigint").alias("chunk")).distinct().join(roots, "file_id").where("chunk >= 0 and chunk < n_chunks")
+    steps = w.where("tree_depth > 0").select("file_id", "chunk", F.explode(F.sequence(F.lit(0), F.col("tree_depth") - 1)).alias("level"))
+    steps = steps.withColumn("at", F.expr("shiftright(chunk, level) ^ 1"))
+    s = steps.join(tree.select("file_id", "level", "at", "digest"), ["file_id", "level", "at"]).groupBy("file_id", "chunk").agg(F.array_sort(F.collect_list(F.struct("level", "digest"))).alias("s"))  # as long as the tree is deep
+    s = s.select("file_id", "chunk", F.transform("s", lambda x: x["digest"]).alias("siblings"))
+    return w.join(s, ["file_id", "chunk"], "left").select("file_id", "chunk", "tree_depth", "root", F.coalesce("siblings", F.array().cast("array<string>")).alias("siblings"))
+
+
+def verify_chunks(received: DataFrame, proofs: DataFrame, domains: tuple[bytes, bytes, bytes] = DOMAINS) -> DataFrame:
+    """received chunks (file_id, chunk, bytes) against their proofs: file_id, chunk,
+    valid. Whatever was changed, shortened, moved or has no proof isn't valid."""
+    r = received.select("file_id", F.col("chunk").cast("bigint").alias("chunk"), "bytes").join(proofs, ["file_id", "chunk"], "left")
+    leaf = F.sha2(F.concat(F.lit(domains[0]), _big_endian(F.col("chunk")), _big_endian(F.length("bytes")), F.col("bytes")), 256)
+    start = F.struct(leaf.alias("h"), F.col("chunk").alias("i"))
+
+    def up(acc: F.Column, sib: F.Column) -> F.Column:
+        h = F.when(acc["i"] % 2 == 0, _node(acc["h"], sib, domains)).otherwise(_node(sib, acc["h"], domains))
+        return F.struct(h.alias("h"), F.shiftright(acc["i"], 1).alias("i"))
+
+    whole = F.size("siblings") == F.col("tree_depth")
+    return r.select("file_id", "chunk", F.coalesce(whole & (F.aggregate("siblings", start, up)["h"] == F.col("root")), F.lit(False)).alias("valid"))
+
+
+def verified_ranges(replicas: DataFrame, requests: DataFrame, proofs: DataFrame, size: int, domains: tuple[bytes, bytes, bytes] = DOMAINS) -> DataFrame:
+    """Byte ranges (file_id, first_byte, n_bytes) from ranked replicas (file_id, rank,
+    chunk, bytes): each covering chunk from the first replica whose copy verifies.
+    file_id, bytes (null if some chunk verifies nowhere), n_chunks, n_failed (copies
+    passed over)."""
+    need = requests.select("file_id", "first_byte", "n_bytes", F.explode(F.sequence(F.floor(F.col("first_byte") / size).cast("bigint"), F.floor((F.col("first_byte") + F.col("n_bytes") - 1) / size).cast("bigint"))).alias("chunk"))
+    got = replicas.select("file_id", "rank", F.col("chunk").cast("bigint").alias("chunk"), "bytes").join(need.select("file_id", "chunk").distinct(), ["file_id", "chunk"], "left_semi")
+    ranked = verify_chunks(got.withColumn("file_id", F.struct("file_id", "rank")), proofs.join(got.select("file_id", "rank").distinct(), "file_id").withColumn("file_id", F.struct("file_id", "rank")).drop("rank"), domains)
+    state = got.join(ranked.select("file_id.file_id", "file_id.rank", "chunk", "valid"), ["file_id", "rank", "chunk"])
+    first = state.groupBy("file_id", "chunk").agg(F.min(F.when(F.col("valid"), F.struct("rank", "bytes"))).alias("c"), F.min(F.when(F.col("valid"), F.col("rank"))).alias("ok"), F.collect_list(F.struct("rank", "valid")).alias("tried"))  # replicas are few
+    first = first.withColumn("n_failed", F.size(F.filter("tried", lambda x: ~x["valid"] & (F.col("ok").isNull() | (x["rank"] < F.col("ok"))))))
+    j = need.join(first, ["file_id", "chunk"], "left")
+    g = j.groupBy("file_id", "first_byte", "n_bytes").agg(F.array_sort(F.collect_list(F.struct("chunk", F.col("c.bytes").alias("b")))).alias("s"), F.count("*").alias("n_chunks"), F.count("c").alias("n_ok"), F.sum(F.coalesce("n_failed", F.lit(0))).alias("n_failed"))
+    joined = F.aggregate("s", F.lit(b""), lambda acc, x: F.concat(acc, x["b"]))
+    data = F.expr("substring(__all, cast(first_byte % {0} as int) + 1, cast(n_bytes as int))".format(size))
+    return g.withColumn("__all", joined).select("file_id", "first_byte", F.when(F.col("n_ok") == F.col("n_chunks"), data).alias("bytes"), "n_chunks", "n_failed")
 
 
 def covering(chunked: DataFrame, requests: DataFrame, size: int) -> DataFrame:

@@ -310,6 +310,18 @@ def v11_range_roots(s, d):
     return verify.range_roots(verify.chunks(f, 64))
 
 
+@query("SELECT doc_id AS file_id, CAST(u.chunk AS BIGINT) AS chunk, NOT (doc_id % 5 = 0 AND u.chunk = 1) AS valid FROM documents, LATERAL (SELECT unnest(generate_series(0, 2)) AS chunk) u WHERE u.chunk < greatest(1, ceil(octet_length(encode(text)) / 64.0))")
+def v12_verified_chunks(s, d):
+    """The first chunks of all documents against their proofs; a fifth have one bit turned."""
+    f = load(s, d, "documents").select(F.col("doc_id").alias("file_id"), F.encode("text", "utf-8").alias("content"))
+    tree = verify.range_tree(verify.chunks(f, 64))
+    n = F.greatest(F.lit(1), F.ceil(F.length("content") / 64))
+    got = f.select("file_id", "content", F.explode(F.sequence(F.lit(0), F.least(F.lit(2), n - 1))).alias("chunk")).select("file_id", "chunk", F.substring("content", (F.col("chunk") * 64 + 1).cast("int"), F.lit(64)).alias("bytes"))
+    turned = F.concat(F.unhex(F.lit("FF")), F.expr("substring(bytes, 2, 63)"))
+    got = got.withColumn("bytes", F.when((F.col("file_id") % 5 == 0) & (F.col("chunk") == 1), turned).otherwise(F.col("bytes")))
+    return verify.verify_chunks(got, verify.chunk_proofs(tree, got))
+
+
 @query("SELECT doc_id AS file_id, CAST(u.chunk AS INTEGER) AS chunk FROM documents, LATERAL (SELECT unnest(generate_series(1, 3)) AS chunk) u WHERE u.chunk < greatest(1, ceil(octet_length(encode(text)) / 64.0))")
 def v13_covering_chunks(s, d):
     f = load(s, d, "documents").select(F.col("doc_id").alias("file_id"), F.encode("text", "utf-8").alias("content"))

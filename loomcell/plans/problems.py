@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,6 +67,14 @@ def p7_differences(spark: SparkSession, d: str) -> DataFrame:
     return _difference(spark, d)
 
 
+# JSON by RFC 8259: json_valid also takes words and trailing commas.
+_VALID = r"""json_valid({v}) AND NOT regexp_matches(regexp_replace({v}, '"([^"\\]|\\.)*"', '""', 'g'), ',\s*[\]}}]|[A-DF-Zb-dg-kmo-qv-z]')"""
+_SIDES = """a AS (SELECT * FROM snapshot_records QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY observed_at DESC) = 1),
+b AS (SELECT * FROM store_records QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY observed_at DESC) = 1)"""
+# Members by value: numbers exactly, strings as they are, the rest as compact text.
+_MEMBER = """SELECT entity_id, k, CASE WHEN json_type(v) IN ('BIGINT', 'UBIGINT', 'HUGEINT', 'DOUBLE') THEN CAST(CAST(CAST(v AS VARCHAR) AS DECIMAL(38, 12)) AS VARCHAR) WHEN json_type(v) = 'VARCHAR' THEN 's' || (v ->> '$') ELSE CAST(v AS VARCHAR) END AS v
+FROM (SELECT entity_id, k, json_extract(values_json, '$."' || k || '"') AS v FROM (SELECT entity_id, values_json, unnest(json_keys(values_json)) AS k FROM {t}))"""
+
 ORACLE = {
     "p1_found": r"""WITH c AS (SELECT * FROM cells QUALIFY row_number() OVER (PARTITION BY entity_id, field_id ORDER BY updated_at DESC) = 1),
 f AS (SELECT DISTINCT id, value_type FROM fields),
@@ -85,4 +94,27 @@ y AS (SELECT *, lag(st) OVER (PARTITION BY field_id ORDER BY created_at) AS p FR
 SELECT field_id, st AS to_status, id AS opened_by, lead(id) OVER w AS closed_by, created_at AS opened_at, lead(created_at) OVER w AS closed_at FROM z WINDOW w AS (PARTITION BY field_id ORDER BY created_at)""",
 }
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_wide, p1_states, p2_found, p2_nodes, p4_found, p4_history, p7_found, p7_differences)}
+ORACLE["p2_found"] = f"""WITH RECURSIVE src AS (SELECT 'field_events' AS source_table, CAST(id AS VARCHAR) AS record_id, max(evidence_json) AS v FROM field_events GROUP BY id UNION ALL SELECT 'field_agent_actions', CAST(id AS VARCHAR), max(output_json) FROM field_agent_actions GROUP BY id
+UNION ALL SELECT 'cells', entity_id || ':' || field_id, arg_max(value_json, updated_at) FROM cells GROUP BY entity_id, field_id), good AS (SELECT * FROM src WHERE CASE WHEN v IS NULL THEN false ELSE {_VALID.format(v='v')} END),
+t AS (SELECT g.source_table, g.record_id, j.id, j.parent, j.key, j.type FROM good g, LATERAL json_tree(g.v) j),
+r(source_table, record_id, id, type, ptr, is_case, around) AS (SELECT source_table, record_id, id, type, '', false, '' FROM t WHERE parent IS NULL
+UNION ALL SELECT t.source_table, t.record_id, t.id, t.type, r.ptr || '/' || replace(replace(t.key, '~', '~0'), '/', '~1'), t.type = 'OBJECT' AND r.type = 'ARRAY', CASE WHEN r.is_case THEN r.ptr ELSE r.around END FROM r JOIN t ON t.source_table = r.source_table AND t.record_id = r.record_id AND t.parent = r.id)
+SELECT source_table, record_id, ptr AS node_path, around AS parent_path FROM r WHERE is_case"""
+
+ORACLE["p7_found"] = f"""WITH {_SIDES}, ma AS ({_MEMBER.format(t='a')}), mb AS ({_MEMBER.format(t='b')}), j AS (SELECT a.entity_id, a.kind IS DISTINCT FROM b.kind AS dk, a.label IS DISTINCT FROM b.label AS dl FROM a JOIN b ON a.entity_id = b.entity_id)
+SELECT entity_id, 'snapshot_only' AS side, '' AS field_name FROM a WHERE entity_id NOT IN (SELECT entity_id FROM b) UNION ALL SELECT entity_id, 'store_only', '' FROM b WHERE entity_id NOT IN (SELECT entity_id FROM a)
+UNION ALL SELECT entity_id, 'both', 'entity.kind' FROM j WHERE dk UNION ALL SELECT entity_id, 'both', 'entity.label' FROM j WHERE dl
+UNION ALL SELECT coalesce(ma.entity_id, mb.entity_id), 'both', coalesce(ma.k, mb.k) FROM ma FULL JOIN mb ON ma.entity_id = mb.entity_id AND ma.k = mb.k WHERE ma.v IS DISTINCT FROM mb.v AND coalesce(ma.entity_id, mb.entity_id) IN (SELECT entity_id FROM j)"""
+
+ORACLE["p1_states"] = ORACLE["p1_found"][: ORACLE["p1_found"].index("SELECT entity_id, field_id FROM n WHERE NOT CASE")] + ", s AS (SELECT value_type, CASE WHEN ok AND t = 'NULL' THEN 'null' WHEN " + ORACLE["p1_found"][ORACLE["p1_found"].index("CASE WHEN v IS NULL") :] + " THEN 'fits' ELSE 'unfit' END AS state FROM n) SELECT value_type, state, count(*) AS n_cells FROM s GROUP BY ALL"
+
+
+def _table(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    def q(spark: SparkSession, d: str) -> DataFrame:
+        return nested.node_tables(_records(spark, d, False))[name]
+
+    q.__name__ = f"p2_{name}"
+    return q
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_wide, p1_states, p2_found, p2_nodes, *map(_table, nested.NODE_TABLES), p4_found, p4_history, p7_found, p7_differences)}

@@ -7,15 +7,18 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: A lookup side is broadcast only when it has at most this many rows.
-BROADCAST_ROWS = 200_000
-#: Copies of the smaller side in a salted join.
-SALTS = 16
+#: A lookup side is broadcast only when it has at most so many rows and bytes of text.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
+#: Copies of the smaller side in a salted join: at least, at most. In between a quarter
+#: of the session's shuffle partitions, so a hot key fills that share of the tasks;
+#: Spark splits what is still skewed when it runs.
+SALTS, MOST_SALTS = 16, 128
 
 _SHIPPED: set[str] = set()
 
@@ -35,6 +38,8 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="loomcell-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -90,25 +95,34 @@ def ship(spark: SparkSession) -> None:
 
 
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether df has at most so many rows; reads no more than it must."""
-    return df.limit(rows + 1).count() <= rows
+    """Whether df has at most so many rows, and no more text than may be broadcast;
+    reads no more than it must."""
+    texts = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema if f.dataType.simpleString() in ("string", "binary")]
+    nested = [F.coalesce(F.octet_length(F.to_json(F.struct(f.name))), F.lit(0)) for f in df.schema if f.dataType.simpleString().startswith(("array", "struct", "map"))]
+    size = reduce(Column.__add__, [*texts, *nested], F.lit(0))
+    n, held = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(size.cast("bigint")), F.lit(0))).first()
+    return n <= rows and held <= BROADCAST_BYTES
+
+
+def salts(spark: SparkSession) -> int:
+    return max(SALTS, min(MOST_SALTS, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4))
 
 
 def lookup_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner", spread: Column | None = None,
                 rows: int = BROADCAST_ROWS, n_small: int | None = None) -> DataFrame:
     """Join on one key of which ``big`` may hold a third of its rows.
 
-    ``small`` (unique on key) is broadcast if its counted rows are under the
-    bound; otherwise both sides are shuffled on (key, salt): ``big`` by the hash
-    of ``spread``, ``small`` copied SALTS times, so no task gets a whole hot key.
+    ``small`` is broadcast if its counted rows and bytes are under the bounds;
+    otherwise both sides are shuffled on (key, salt): ``big`` by the hash of
+    ``spread``, ``small`` copied salts() times, so no task gets a whole hot key.
     how: inner, left, left_semi or left_anti. A null key matches nothing. n_small:
-    the small side's count, where it is known already.
+    the small side's count, where it is known already and its rows are short.
     """
     if n_small <= rows if n_small is not None else is_small(small, rows):
         return big.join(F.broadcast(small), key, how)
-    salt = "__salt"
-    left = big.withColumn(salt, F.pmod(F.xxhash64(spread if spread is not None else F.monotonically_increasing_id()), F.lit(SALTS)).cast("int"))
-    right = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt, n = "__salt", salts(big.sparkSession)
+    left = big.withColumn(salt, F.pmod(F.xxhash64(spread if spread is not None else F.monotonically_increasing_id()), F.lit(n)).cast("int"))
+    right = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     return left.join(right, [key, salt], how).drop(salt)
 
 
@@ -147,3 +161,15 @@ def spread_previous(df: DataFrame, key: str, order: list[str], value: str) -> Da
     ends = ends.select(key, "__p", F.lag("__l.__v").over(v).alias("__carry"), F.coalesce(F.sum("__n").over(v.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     j = own.join(ends, [key, "__p"])
     return j.withColumn("prev", F.when(F.col("__i") == 0, F.col("__carry")).otherwise(F.col("__prev"))).withColumn("nth", (F.col("__i") + F.col("__before")).cast("int")).drop("__p", "__prev", "__i", "__carry", "__before")
+
+
+def spread_next(df: DataFrame, key: str, order: list[str], value: str, name: str) -> DataFrame:
+    """Add under `name` the value of the key's next row in a total order (null after
+    the last), whatever the size of a key; by ranges like spread_previous."""
+    parts = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    r = spool(df.repartitionByRange(parts, key, *order).withColumn("__p", F.spark_partition_id()))
+    w, v = Window.partitionBy(key, "__p").orderBy(*order), Window.partitionBy(key).orderBy("__p")
+    heads = r.groupBy(key, "__p").agg(F.min(F.struct(*order, F.col(value).alias("__v"))).alias("__h"))
+    heads = heads.select(key, "__p", F.lead("__h.__v").over(v).alias("__carry"))
+    own = r.withColumn("__own", F.lead(value).over(w)).withColumn("__last", F.lead(F.lit(1)).over(w).isNull())
+    return own.join(heads, [key, "__p"]).withColumn(name, F.when(F.col("__last"), F.col("__carry")).otherwise(F.col("__own"))).drop("__p", "__own", "__last", "__carry")

@@ -253,6 +253,42 @@ def test_range_roots_depend_on_every_byte(spark):
     assert r["a"].root != r["b"].root and (r["a"].n_chunks, r["a"].tree_depth) == (13, 4) and (r["c"].n_chunks, r["c"].tree_depth) == (1, 0) and r["d"].tree_depth == 0
 
 
+def plain_root(data, size):
+    """The same tree by plain Python."""
+    import hashlib
+
+    h, be = (lambda x: hashlib.sha256(x).digest()), (lambda i: i.to_bytes(8, "big"))
+    leaf, pad, node = verify.DOMAINS
+    parts = [data[i : i + size] for i in range(0, len(data), size)] or [b""]
+    row = [h(leaf + be(i) + be(len(p)) + p) for i, p in enumerate(parts)]
+    while len(row) & (len(row) - 1):
+        row.append(h(pad + be(len(row))))
+    while len(row) > 1:
+        row = [h(node + a + b) for a, b in zip(row[::2], row[1::2], strict=True)]
+    return row[0].hex()
+
+
+def test_range_trees_proofs_and_failover(spark):
+    files = {"a": bytes(range(200)), "b": bytes(range(64)), "c": b"", "d": bytes(10), "e": bytes(33)}
+    f = spark.createDataFrame([(k, bytearray(v)) for k, v in files.items()] + [("n", None)], "file_id string, content binary")
+    tree = verify.range_tree(verify.chunks(f, 16))
+    assert {r.file_id: r.root for r in verify.range_roots(verify.chunks(f, 16)).collect()} == {k: plain_root(v, 16) for k, v in files.items()}
+    cut = lambda k, c: bytearray(files[k][c * 16 : c * 16 + 16])
+    every = [(k, c, cut(k, c)) for k, v in files.items() for c in range(max(1, -(-len(v) // 16)))]
+    bad = [("a", 99, bytearray(b"x")), ("z", 0, bytearray(b"x"))]
+    got = spark.createDataFrame(every + bad, "file_id string, chunk int, bytes binary")
+    proofs = verify.chunk_proofs(tree, got)
+    assert {(r.file_id, r.chunk) for r in verify.verify_chunks(got, proofs).where("valid").collect()} == {(k, c) for k, c, _ in every}
+    wrong = spark.createDataFrame([("a", 0, bytearray([1, *cut("a", 0)[1:]])), ("a", 1, cut("a", 2)), ("a", 12, cut("a", 12)[:-1]), ("d", 0, bytearray(11))], "file_id string, chunk int, bytes binary")
+    assert verify.verify_chunks(wrong, proofs).where("valid").count() == 0
+    # the first replica has one chunk broken, the second all but the last
+    copies = [("a", 1, c, bytearray(b"broken") if c == 1 else cut("a", c)) for c in range(13)] + [("a", 2, c, cut("a", c)) for c in range(12)] + [("b", 1, 0, bytearray(b"?"))]
+    rep = spark.createDataFrame(copies, "file_id string, rank int, chunk int, bytes binary")
+    req = spark.createDataFrame([("a", 5, 30), ("a", 190, 10), ("b", 0, 4)], "file_id string, first_byte int, n_bytes int")
+    out = {(r.file_id, r.first_byte): (None if r.bytes is None else bytes(r.bytes), r.n_chunks, r.n_failed) for r in verify.verified_ranges(rep, req, proofs, 16).collect()}
+    assert out == {("a", 5): (files["a"][5:35], 3, 1), ("a", 190): (files["a"][190:200], 2, 0), ("b", 0): (None, 1, 1)}
+
+
 def test_anchors(spark):
     a = spark.createDataFrame([(1, T0, "pending"), (2, T0, "pending")], "anchor_id int, instant timestamp_ntz, status string")
     t = spark.createDataFrame([(1, T0, T0 + timedelta(1), False), (2, T0, T0 + timedelta(2), True), (2, T0 + timedelta(1), T0 + timedelta(3), True)], "anchor_id int, at timestamp_ntz, instant timestamp_ntz, succeeded boolean")
@@ -305,7 +341,7 @@ def test_directory_manifest_and_ranges(spark, tmp_path):
     (tmp_path / "d" / "a.md").write_text("hello")
     (tmp_path / "b.png").write_bytes(b"12")
     seen = files.read_directory(spark, str(tmp_path))
-    assert {(r.path, r.size, r.media_class) for r in seen.collect()} == {("d/a.md", 5, "document"), ("b.png", 2, "image")}
+    assert {(r.path, r.size, r.media_class) for r in seen.collect()} == {("d/a.md", 5, "text"), ("b.png", 2, "image")}
     want = seen.withColumn("sha", F.when(F.col("path") == "b.png", "x").otherwise(F.col("sha"))).select("path", "size", "sha").unionByName(spark.createDataFrame([("gone", 1, "y")], "path string, size bigint, sha string"))
     assert {tuple(r) for r in files.check_manifest(seen, want).collect()} == {("d/a.md", "ok"), ("b.png", "wrong_content"), ("gone", "missing")}
     req = spark.createDataFrame([("d/a.md", 1, 3), ("../x", 0, 1), ("none", 0, 1)], "object_key string, first_byte bigint, n_bytes bigint")

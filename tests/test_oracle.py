@@ -42,7 +42,11 @@ def duck(data):
     return con
 
 
-@pytest.mark.parametrize("name", sorted(n for n in QUERIES if not n.startswith(("p3_", "p5_", "p6_", "p8_", "p9_", "p10_"))))
+#: The optional subpackage tests its own queries.
+CORE = sorted(n for n, q in QUERIES.items() if ".llm" not in q.__module__)
+
+
+@pytest.mark.parametrize("name", CORE)
 def test_query(spark, data, duck, name):
     df = QUERIES[name](spark, data)
     got = [tuple(r) for r in df.collect()]

@@ -1,12 +1,14 @@
 """Wide rows, nested records, history and differences against plain Python."""
 
 import json
+import random
 from datetime import datetime, timedelta
 from decimal import Decimal
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from loomcell.functions import jsontext as J
 from loomcell.operators import difference, history, nested, wide
@@ -223,3 +225,35 @@ def test_differences(spark):
     assert got == {("1", "both", "b"): ("null", None), ("1", "both", "c"): ("[1,2]", "[2,1]"), ("1", "both", "e"): ("9007199254740993", "9007199254740992"), ("1", "both", "f"): ('"1"', "1"),
                    ("2", "both", "entity.kind"): ("k", "K"), ("2", "both", "entity.label"): (None, ""), ("5", "snapshot_only", ""): (None, None), ("6", "store_only", ""): (None, None)}
     assert diff(spark, a, a) == {} and diff(spark, [], []) == {}
+
+
+@pytest.mark.parametrize("bits", [1, 3])
+def test_history_of_a_hot_key_is_spread(spark, monkeypatch, bits):
+    """One key with most rows: the way by ranges gives what the way by windows gives."""
+    rng = random.Random(bits)
+    rows = [("hot" if i % 4 else f"k{i % 3}", T0 + timedelta(seconds=rng.randrange(900)), i, rng.choice(["a", "a", "a", "b", None])) for i in range(1500)]
+    df = spark.createDataFrame(rows, "k string, t timestamp_ntz, i int, v string").repartition(6)
+    plain = {tuple(r) for r in history.history(df, "k", "t", "i", "v", bits).collect()}
+    monkeypatch.setattr(history, "has_hot_key", lambda *_: True)
+    spread = [tuple(r) for r in history.history(df, "k", "t", "i", "v", bits).collect()]
+    assert set(spread) == plain and len(spread) == len(plain) > 100
+
+
+def test_lookups_are_bounded_by_bytes_too(spark, monkeypatch):
+    import loomcell.runtime as R
+
+    small = spark.createDataFrame([(i, "x" * 1000) for i in range(100)], "k int, t string")
+    assert R.is_small(small) and not R.is_small(small, 99)
+    monkeypatch.setattr(R, "BROADCAST_BYTES", 50_000)
+    assert not R.is_small(small)
+    big = spark.range(900).selectExpr("cast(if(id % 3 = 0, 7, id % 150) as int) as k", "id")
+    assert R.lookup_join(big, small, "k", spread=F.col("id")).count() == big.where("k < 100").count()
+
+
+def test_node_tables_link_by_interval(spark):
+    r = spark.createDataFrame([("t", "1", '{"a":[{"b":1},[{"c":null}]]}'), ("t", "2", "{"), ("t", "3", None)], "source_table string, record_id string, value string")
+    t = nested.node_tables(r)
+    assert {k: v.count() for k, v in t.items()} == {"objects": 3, "arrays": 2, "scalars": 2}
+    o, s = t["objects"].withColumnRenamed("pre", "p0").withColumnRenamed("post", "q0"), t["scalars"]
+    inside = s.join(o.select("record_id", "p0", "q0", F.col("node_path").alias("around")), "record_id").where("pre > p0 and post < q0")
+    assert {(x.node_path, x.around) for x in inside.collect()} == {("/a/0/b", ""), ("/a/0/b", "/a/0"), ("/a/1/0/c", ""), ("/a/1/0/c", "/a/1/0")}
