@@ -89,4 +89,8 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p3_found, p3_groups, p5_found, p5_matches, p6_found, p8_found, p8_paraphrases, p9_mix, p9_uses, p9_shares, p10_found, p10_restored)}
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "p6_found": f"""WITH RECURSIVE x AS (SELECT * FROM semantic_candidates QUALIFY row_number() OVER (PARTITION BY source_kind, source_ref, candidate_field_id ORDER BY created_at DESC) = 1),
+l AS (SELECT source_ref AS a, candidate_field_id AS b FROM x WHERE score >= {LINK_SCORE} AND source_ref <> candidate_field_id), e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r(id, reached) AS (SELECT a, a FROM e UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.reached) SELECT id AS record_id, min(reached) AS group_id FROM r GROUP BY 1""",
+}
