@@ -37,7 +37,7 @@ def test_scalars(spark):
     assert one(spark, "AB", S.column_index) == 27 and one(spark, "Z", S.column_index) == 25
     assert [one(spark, x, S.json_kind) for x in ("true", "1", "1.5", "null", '"a"', "[]", "{}", "x")] == ["boolean", "integer", "number", "null", "text", "array", "object", None]
     assert one(spark, "2025-01-01T00:00:00+01:00", S.canonical_instant) == "2024-12-31T23:00:00.000000Z" and one(spark, "2025-01-01T00:00:00", S.canonical_instant) is None
-    assert one(spark, "a/B.PNG", S.media_class) == "image" and one(spark, "x", S.media_class) == "other"
+    assert one(spark, "a/B.PNG", S.media_class) == "image" and one(spark, "x", S.media_class) == "binary"
     assert spark.createDataFrame([(0.1234565,)], "v double").select(S.round6("v").alias("r")).first().r == 0.123456
 
 
