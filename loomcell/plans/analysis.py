@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomcell.functions import scalars as S
-from loomcell.operators import assess, difference, query as Q, refgraph, similarity, snapshot, store, verify
-from loomcell.plans.reads import C_, E_, F_, _candidates, _CUR_CAND
-from loomcell.plans.registry import C, E, FL, query
-from loomcell.runtime import latest, load, lookup_join, shared_dir
+from loomcell.operators import assess, difference, refgraph, similarity, snapshot, store, verify
+from loomcell.plans.reads import C_, F_, _candidates, _CUR_CAND
+from loomcell.plans.registry import C, FL, query
+from loomcell.runtime import latest, load, shared_dir
 from loomcell.sources import exchange
 from loomcell.streaming import changes
 
