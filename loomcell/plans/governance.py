@@ -315,8 +315,8 @@ def p21_unresolved(s, d):
     """Candidates whose sides aren't registered, or that were never scored."""
     c = load(s, d, "semantic_candidates").groupBy("source_kind", "source_ref", "candidate_field_id").agg(F.max("score").alias("score"))
     known = load(s, d, "fields").select("id").distinct()
-    j = lookup_join(c, known.select(F.col("id").alias("source_ref"), F.lit(True).alias("k1")), "source_ref", "left", spread=F.col("candidate_field_id"))
-    j = lookup_join(j, known.select(F.col("id").alias("candidate_field_id"), F.lit(True).alias("k2")), "candidate_field_id", "left", spread=F.col("source_ref"))
+    j = lookup_join(c, known.select(F.col("id").alias("source_ref"), F.lit(True).alias("k1")), "source_ref", "left", spread=F.col("candidate_field_id"), salted=False)
+    j = lookup_join(j, known.select(F.col("id").alias("candidate_field_id"), F.lit(True).alias("k2")), "candidate_field_id", "left", spread=F.col("source_ref"), salted=False)
     u = ((F.col("source_kind") == "field") & F.col("k1").isNull()) | F.col("k2").isNull()
     return j.withColumn("unresolved", u).where(F.col("unresolved") | F.col("score").isNull()).select("source_kind", "source_ref", "candidate_field_id", "unresolved")
 

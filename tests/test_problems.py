@@ -257,3 +257,21 @@ def test_node_tables_link_by_interval(spark):
     o, s = t["objects"].withColumnRenamed("pre", "p0").withColumnRenamed("post", "q0"), t["scalars"]
     inside = s.join(o.select("record_id", "p0", "q0", F.col("node_path").alias("around")), "record_id").where("pre > p0 and post < q0")
     assert {(x.node_path, x.around) for x in inside.collect()} == {("/a/0/b", ""), ("/a/0/b", "/a/0"), ("/a/1/0/c", ""), ("/a/1/0/c", "/a/1/0")}
+
+
+def test_unresolved_candidates_are_joined_without_copies(spark, monkeypatch, tmp_path):
+    import loomcell.runtime as R
+    from loomcell.plans import governance
+
+    # as many short ids as the row bound allows take more than the byte bound
+    assert not R.is_small(spark.range(180_000).select(F.sha1(F.col("id").cast("string")).alias("id"), F.lit(True).alias("k1")))
+    spark.range(50).selectExpr("concat('f', id) id").write.parquet(f"{tmp_path}/fields.parquet")
+    c = [("field", "f1", "f2", 0.5), ("field", "x", "f2", 0.5), ("proposal", "x", "f2", 0.5), ("proposal", "x", "y", 0.5), ("field", "f3", "f4", None)]
+    spark.createDataFrame([*c, *[("field", "hot", f"f{i}", 0.9) for i in range(50)]], "source_kind string, source_ref string, candidate_field_id string, score double").write.parquet(f"{tmp_path}/semantic_candidates.parquet")
+    want = {("field", "x", "f2", True), ("proposal", "x", "y", True), ("field", "f3", "f4", False), *[("field", "hot", f"f{i}", True) for i in range(50)]}
+    for small in (True, False):
+        monkeypatch.setattr(R, "is_small", lambda *_, small=small: small)
+        u = governance.p21_unresolved(spark, str(tmp_path))
+        assert "explode" not in u._jdf.queryExecution().optimizedPlan().toString()
+        rows = [tuple(r) for r in u.collect()]
+        assert set(rows) == want and len(rows) == len(want)
