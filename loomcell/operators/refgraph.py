@@ -36,7 +36,8 @@ def edges(records: DataFrame, rules: list[tuple[str, str, str]], targets: DataFr
 
     A value with the separator is a list, each target once. Status: resolved if the
     target (table_name, record_id) is there, missing_target otherwise. Rules are a
-    short literal table; the target index is joined, salted if it is large."""
+    short literal table; the target index is joined, by a shuffle of both if it is large:
+    it grows with the records, so it isn't copied."""
     cols = records.select("source_table", "source_id", F.explode("payload").alias("field", "value")).where(~is_sentinel(F.col("value")))
     rule = None
     for table, pattern, target in rules:
@@ -44,9 +45,9 @@ def edges(records: DataFrame, rules: list[tuple[str, str, str]], targets: DataFr
         rule = F.when(cond, target) if rule is None else rule.when(cond, target)
     hit = cols.withColumn("target_table", rule).where("target_table is not null")
     one = hit.select("source_table", "source_id", "field", "target_table", F.posexplode(F.array_distinct(F.split("value", re.escape(separator)))).alias("slot", "target_id"))
-    one = one.withColumn("target_id", F.trim("target_id")).withColumn("k", F.struct("target_table", "target_id"))
-    index = targets.select(F.struct(F.col("table_name").alias("target_table"), F.col("record_id").cast("string").alias("target_id")).alias("k"), F.lit(True).alias("known")).distinct()
-    j = lookup_join(one, index, "k", "left", spread=F.col("source_id"))
+    one = one.withColumn("target_id", F.trim("target_id"))
+    index = targets.select(F.col("record_id").cast("string").alias("target_id"), F.col("table_name").alias("target_table")).distinct().withColumn("known", F.lit(True))
+    j = lookup_join(one, index, ["target_id", "target_table"], "left", salted=False)
     return j.select("source_table", "source_id", "field", "slot", "target_table", "target_id", F.when(F.col("known"), "resolved").otherwise("missing_target").alias("status"))
 
 

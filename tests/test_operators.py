@@ -389,3 +389,17 @@ def test_closure_reaches_the_end_of_a_deep_chain(spark):
     links = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(34)], "src string, dst string")
     got = {r.node: r.distance for r in refgraph.closure(links, spark.createDataFrame([("n0",)], "id string")).collect()}
     assert got == {f"n{i}": i for i in range(1, 35)}
+
+
+def test_edge_counts_take_no_copies_of_the_targets(spark, monkeypatch):
+    import loomcell.runtime as R
+
+    # the targets of sf0.1 are under the row bound, but too large for the driver
+    assert not R.is_small(spark.range(190_000).select(F.col("id").cast("string").alias("target_id"), F.lit("orders").alias("target_table"), F.lit(True).alias("known")))
+    r = spark.createDataFrame([("t", str(i), {"NextId": "5" if i % 3 else str(i)}) for i in range(60)], "source_table string, source_id string, payload map<string,string>")
+    tg = spark.createDataFrame([("u", "5"), ("u", "5"), ("u", "6"), ("v", "9"), ("u", None)], "table_name string, record_id string")
+    for small in (True, False):
+        monkeypatch.setattr(R, "is_small", lambda *_, small=small: small)
+        e = refgraph.edges(r, [("t", r"NextId\d?", "u")], tg)
+        assert "__salt" not in e._jdf.queryExecution().analyzed().toString()
+        assert {tuple(x) for x in refgraph.edge_counts(e).collect()} == {("t.NextId->u:resolved", 41), ("t.NextId->u:missing_target", 19)}
