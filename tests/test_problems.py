@@ -275,3 +275,16 @@ def test_unresolved_candidates_are_joined_without_copies(spark, monkeypatch, tmp
         assert "explode" not in u._jdf.queryExecution().optimizedPlan().toString()
         rows = [tuple(r) for r in u.collect()]
         assert set(rows) == want and len(rows) == len(want)
+
+
+def test_missing_targets_take_no_copies(spark, monkeypatch, data):
+    import loomcell.runtime as R
+    from loomcell.plans import analysis
+
+    got = []
+    for small in (True, False):
+        monkeypatch.setattr(R, "is_small", lambda *_, small=small: small)
+        m = analysis.g01_missing_targets(spark, data)
+        assert "__salt" not in m._jdf.queryExecution().analyzed().toString()
+        got.append(sorted(map(tuple, m.collect())))
+    assert got[0] == got[1] and got[0]
