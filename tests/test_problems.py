@@ -288,3 +288,16 @@ def test_missing_targets_take_no_copies(spark, monkeypatch, data):
         assert "__salt" not in m._jdf.queryExecution().analyzed().toString()
         got.append(sorted(map(tuple, m.collect())))
     assert got[0] == got[1] and got[0]
+
+
+def test_aligned_defaults_take_no_copies(spark, monkeypatch, data):
+    import loomcell.runtime as R
+    from loomcell.plans import more
+
+    got = []
+    for small in (True, False):
+        monkeypatch.setattr(R, "is_small", lambda *_, small=small: small)
+        a = more.j24_aligned_defaults(spark, data)
+        assert "__salt" not in a._jdf.queryExecution().analyzed().toString()
+        got.append(sorted(map(tuple, a.collect())))
+    assert got[0] == got[1] and len(got[0]) == spark.read.parquet(f"{data}/lineitem.parquet").count()
