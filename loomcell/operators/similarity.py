@@ -64,6 +64,7 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(n > 0, F.size(F.array_intersect(a, b)) / n).otherwise(1.0)
 
 
+@lru_cache(10_000)
 def char_ratio(a: str, b: str) -> float:
     """Share of matching characters; texts both empty are equal."""
     return SequenceMatcher(None, a, b, autojunk=False).ratio() if a and b else float(a == b)
@@ -80,7 +81,8 @@ def _token_score(a: str | None, b: str | None) -> float:
 
 
 def _text_score(a: str | None, b: str | None) -> float:
-    return max(_token_score(a, b), CHAR_FACTOR * char_ratio(_parts(a)[1], _parts(b)[1]))
+    words = _token_score(a, b)
+    return words if words >= CHAR_FACTOR else max(words, CHAR_FACTOR * char_ratio(_parts(a)[1], _parts(b)[1]))
 
 
 def _text_bound(a: str | None, b: str | None) -> float:
@@ -218,91 +220,190 @@ def scan(f: DataFrame, threshold: float = 0.72, most: int = 12, excluded: tuple[
     return score_pairs(pairs, e, threshold)
 
 
-#: Fields and proposals that are compared in one step of score_proposals.
-_FIELDS, _PROPOSALS = 2_000, 250
+#: Fields and proposals that are compared in one step of score_proposals; proposals
+#: whose bounds are held at once.
+_FIELDS, _PROPOSALS, _AT_ONCE = 30_000, 1_000, 32
 _TEXTS = ("key", "label", "description")
+#: Copies of a character that are told apart in bounds; characters compared in order.
+_LEVELS, _FIRST = 7, 63
+
+
+class _Texts:
+    """Upper bounds of _text_score of many texts, each of them once, with other ones."""
+
+    def __init__(self, texts: list[str | None]):
+        at: dict[tuple, int] = {}
+        self.place = np.array([at.setdefault(_parts(t), len(at)) for t in texts])
+        parts = list(at)
+        with_token: dict[str, list[int]] = {}
+        for n, (toks, _) in enumerate(parts):
+            for x in toks:
+                with_token.setdefault(x, []).append(n)
+        self.with_token = {x: np.array(v) for x, v in with_token.items()}
+        self.n_tokens = np.array([len(x) for x, _ in parts])
+        self.length = np.array([len(c) for _, c in parts], np.float32)
+        self.levels = _levels([c for _, c in parts])
+        self.alphabet: dict[str, int] = {}
+        self.codes = np.zeros((len(parts), min(_FIRST, int(self.length.max(initial=0)))), np.int32)
+        for n, (_, c) in enumerate(parts):
+            self.codes[n, : len(c)] = [self.alphabet.setdefault(x, len(self.alphabet) + 1) for x in c[:_FIRST]]
+
+    def words(self, t: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the texts with a common word, or without words like t, and the share of words."""
+        toks = _parts(t)[0]
+        if not toks:
+            at = np.flatnonzero(self.n_tokens == 0)
+            return at, np.ones(len(at))
+        found = [self.with_token[x] for x in toks if x in self.with_token]
+        at, shared = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, int), np.zeros(0))
+        return at, shared / (self.n_tokens[at] + len(toks) - shared)
+
+    def __call__(self, others: list[str | None]) -> np.ndarray:
+        """Of the characters at most the common ones match; classes only raise that."""
+        texts = [_parts(t)[1] for t in others]
+        length = np.array([len(c) for c in texts], np.float32)
+        out = _levels(texts) @ self.levels.T
+        np.minimum(out, np.minimum.outer(length, self.length), out=out)
+        both = np.add.outer(length, self.length)
+        out *= np.float32(2 * CHAR_FACTOR)
+        out /= np.maximum(both, 1)
+        out[both == 0] = CHAR_FACTOR
+        for row, t in zip(out, others, strict=True):
+            at, share = self.words(t)
+            row[at] = np.maximum(row[at], share)
+        return out[:, self.place]
+
+    def in_order(self, t: str | None, chosen: np.ndarray) -> np.ndarray:
+        """A closer bound for some rows: matches are a common subsequence."""
+        text, at = _parts(t)[1], self.place[chosen]
+        masks = np.zeros(len(self.alphabet) + 1, np.uint64)
+        for n, x in enumerate(text[:_FIRST]):
+            if x in self.alphabet:
+                masks[self.alphabet[x]] |= np.uint64(1 << n)
+        v = np.full(len(at), 2**64 - 1, np.uint64)
+        for m in masks[self.codes[at]].T:
+            u = v & m
+            v = (v + u) | (v - u)
+        m = min(len(text), _FIRST)
+        common = m - np.bitwise_count(v & np.uint64((1 << m) - 1)).astype(int) + np.maximum(self.length[at] - _FIRST, 0) + max(len(text) - _FIRST, 0)
+        both = self.length[at] + len(text)
+        score = CHAR_FACTOR * np.where(both > 0, 2 * common / np.maximum(both, 1), 1.0)
+        places, share = self.words(t)
+        words = np.zeros(len(self.length))
+        words[places] = share
+        return np.maximum(score, words[at])
 
 
 class _Bounds:
-    """Upper bounds of pair_score of a proposal with each of many fields of its namespace."""
+    """Upper bounds of pair_score of proposals with each of many fields of their namespace."""
 
     def __init__(self, rows: list[dict]):
-        self.rows = rows
         self.type = np.array([_norm(r["value_type"]) for r in rows], dtype=object)
-        self.texts = {}
-        for k in _TEXTS:
-            parts = [_parts(r[k]) for r in rows]
-            with_token: dict[str, list[int]] = {}
-            for n, (toks, _) in enumerate(parts):
-                for x in toks:
-                    with_token.setdefault(x, []).append(n)
-            self.texts[k] = ({x: np.array(v) for x, v in with_token.items()}, np.array([len(x) for x, _ in parts]), np.stack([_counts(c) for _, c in parts]), np.array([len(c) for _, c in parts]))
-
-    def __call__(self, p: dict) -> np.ndarray:
-        same = self.type == _norm(p["value_type"])
-        total = WEIGHTS["type"] * same + WEIGHTS["namespace"]
-        for k in _TEXTS:
-            with_token, n_tokens, counts, length = self.texts[k]
-            toks, text = _parts(p[k])
-            shared = np.zeros(len(self.rows))
-            for x in toks:
-                if x in with_token:
-                    shared[with_token[x]] += 1
-            union = n_tokens + len(toks) - shared
-            words = np.where(union > 0, shared / np.maximum(union, 1), 1.0)
-            # of the characters at most the common ones match; classes only raise that
-            common = np.minimum(counts, _counts(text)).sum(1)
-            both = length + len(text)
-            chars = np.where(both > 0, 2 * common / np.maximum(both, 1), 1.0)
-            total = total + WEIGHTS[k] * np.maximum(words, CHAR_FACTOR * chars)
-        return total * np.where(same, 1, TYPE_PENALTY) + 1e-6
+        self.texts = {k: _Texts([r[k] for r in rows]) for k in _TEXTS}
+
+    def __call__(self, proposals: list[dict]) -> np.ndarray:
+        return self._score(np.stack([self.type == _norm(p["value_type"]) for p in proposals]), {k: self.texts[k]([p[k] for p in proposals]) for k in _TEXTS})
+
+    def closer(self, p: dict, chosen: np.ndarray) -> np.ndarray:
+        return self._score(self.type[chosen] == _norm(p["value_type"]), {k: self.texts[k].in_order(p[k], chosen) for k in _TEXTS})
+
+    @staticmethod
+    def _score(same: np.ndarray, texts: dict[str, np.ndarray]) -> np.ndarray:
+        total = sum(np.float32(WEIGHTS[k]) * x for k, x in texts.items()) + np.float32(WEIGHTS["namespace"])
+        # what rounding to 6 places and single precision may lack
+        return np.where(same, total + np.float32(WEIGHTS["type"]), total * np.float32(TYPE_PENALTY)) + np.float32(5e-6)
+
+
+def _best(p: dict, rows: list[dict], bounds: _Bounds, bound: np.ndarray, top_k: int) -> list[tuple[float, str]]:
+    """The top_k (score, id) of one proposal: fields are scored in the order of their
+    bounds until no further one can be among the best."""
+    best: list[tuple[float, str]] = []
+
+    def score(order: np.ndarray, by: np.ndarray) -> None:
+        for i, most in zip(order.tolist(), by.tolist(), strict=True):
+            if len(best) >= top_k and most < best[0][0]:
+                break
+            s = pair_score(p, rows[i])["score"]
+            for x in rows[i]["ids"]:
+                (heapq.heappush if len(best) < top_k else heapq.heappushpop)(best, (s, x))
+
+    def closest(chosen: np.ndarray) -> None:
+        by = bounds.closer(p, chosen)
+        o = np.argsort(-by, kind="stable")
+        score(chosen[o], by[o])
+
+    # those with the highest bounds first: they tell how high the others must come
+    first = np.argpartition(-bound, 4 * top_k)[: 4 * top_k] if len(bound) > 8 * top_k else np.arange(len(bound))
+    closest(first)
+    if len(first) < len(bound):
+        rest = bound >= best[0][0] if len(best) >= top_k else np.ones(len(bound), bool)
+        rest[first] = False
+        closest(np.flatnonzero(rest))
+    return best
 
 
 def _norm(s: str | None) -> str:
     return unicodedata.normalize("NFKC", s or "").strip().lower()
 
 
-def _counts(s: str) -> np.ndarray:
-    """Characters by class; Latin letters and digits have one each."""
-    return np.bincount([ord(c) % 75 for c in s], minlength=75).astype(np.int32) if s else np.zeros(75, np.int32)
+def _levels(texts: list[str]) -> np.ndarray:
+    """Vectors whose products are at least the number of common characters, by class;
+    Latin letters and digits have one each. A column says whether a text has a
+    character once, twice and so on; the last one of a class has the further copies."""
+    counts = np.zeros((len(texts), 75), np.int32)
+    for n, t in enumerate(texts):
+        if t:
+            counts[n] = np.bincount([ord(c) % 75 for c in t], minlength=75)
+    return np.concatenate([*((counts > x).astype(np.float32) for x in range(_LEVELS)), np.maximum(counts - _LEVELS, 0).astype(np.float32)], 1)
 
 
 def score_proposals(f: DataFrame, proposals: DataFrame, top_k: int = 10, excluded: tuple[str, ...] = ("merged", "split", "deprecated")) -> DataFrame:
     """The best top_k fields of each proposal (id and the fields' attributes) among
     all eligible fields of its namespace: proposal_id, field_id, score, proposal left.
 
-    Blocks of fields meet chunks of proposals; in a block the fields are scored in
-    the order of an upper bound until no further one can be among the best."""
-    ship(f.sparkSession)
-    ns = F.coalesce(F.nullif("namespace", F.lit("")), F.lit("global"))
-
-    def packed(df: DataFrame, rows: int, name: str) -> DataFrame:
-        df = df.select(ns.alias("ns"), F.struct("id", *_ATTRS).alias("x"))
-        parts = df.groupBy("ns").agg(F.ceil(F.count("*") / rows).alias("parts"))
-        return df.join(parts, "ns").groupBy("ns", F.pmod(F.xxhash64("x.id"), "parts").alias(f"{name}_part")).agg(F.collect_list("x").alias(name))
-
-    both = packed(proposals, _PROPOSALS, "proposals").join(packed(f.where(~F.col("status").isin(*excluded)), _FIELDS, "fields"), "ns")
-    parts = max(24, int(f.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    Proposals with equal attributes are scored once, and so are fields: of those equal
+    ones the top_k greatest ids are all that can be among the best. Blocks of fields
+    meet chunks of proposals; in a block the fields are scored in the order of an
+    upper bound until no further one can be among the best."""
+    spark = f.sparkSession
+    ship(spark)
+    ns = F.coalesce(F.nullif("namespace", F.lit("")), F.lit("global")).alias("ns")
+    same = F.sha2(F.to_json(F.struct(*_ATTRS)), 256).alias("same")
+    asked = proposals.select("id", ns, same, *_ATTRS)
+    one = asked.groupBy("same").agg(*[F.min(c).alias(c) for c in ("ns", *_ATTRS)])
+    of_same = Window.partitionBy("same").orderBy(F.desc("id"))
+    known = f.where(~F.col("status").isin(*excluded)).select("id", ns, same, *_ATTRS).withColumn("r", F.row_number().over(of_same)).where(F.col("r") <= top_k)
+    known = known.groupBy("same").agg(F.collect_list("id").alias("ids"), *[F.min(c).alias(c) for c in ("ns", *_ATTRS)])
+    one, known = spool(one), spool(known)
+
+    def parts_of(df: DataFrame, rows: int, name: str) -> DataFrame:
+        return df.groupBy("ns").agg(F.ceil(F.count("*") / rows).alias(name))
+
+    def packed(df: DataFrame, own: str, rows: int, name: str) -> DataFrame:
+        df = df.select("ns", "same", F.struct(own, *_ATTRS).alias("x"))
+        return df.join(F.broadcast(parts_of(df, rows, "parts")), "ns").groupBy("ns", F.pmod(F.xxhash64("same"), "parts").alias(f"{name}_part")).agg(F.collect_list("x").alias(name))
+
+    steps = parts_of(one, _PROPOSALS, "p").join(parts_of(known, _FIELDS, "q"), "ns").agg(F.sum(F.col("p") * F.col("q"))).first()[0] or 0
+    both = packed(one, "same", _PROPOSALS, "proposals").join(packed(known, "ids", _FIELDS, "fields"), "ns")
+    # few steps a partition: an Arrow batch holds a partition's blocks
+    parts = max(24, int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(steps / 4))
     both = both.repartition(parts, "ns", "proposals_part", "fields_part").select("proposals", "fields")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for n in range(b.num_rows):
-                rows, out = b.column(1)[n].as_py(), []
+                asked, rows, out = b.column(0)[n].as_py(), b.column(1)[n].as_py(), []
                 bounds = _Bounds(rows)
-                for p in b.column(0)[n].as_py():
-                    bound, best = bounds(p), []
-                    for i in np.argsort(-bound, kind="stable"):
-                        if len(best) == top_k and bound[i] < best[0][0]:
-                            break
-                        x = (pair_score(p, rows[i])["score"], rows[i]["id"])
-                        (heapq.heappush if len(best) < top_k else heapq.heappushpop)(best, x)
-                    out += [(p["id"], i, s) for s, i in best]
-                yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.string(), pa.string(), pa.float64()))], ["proposal_id", "field_id", "score"])
-
-    found = both.mapInArrow(run, "proposal_id string, field_id string, score double")
-    w = Window.partitionBy("proposal_id").orderBy(F.desc("score"), F.desc("field_id"))
-    return found.withColumn("r", F.row_number().over(w)).where(F.col("r") <= top_k).drop("r")
+                for k in range(0, len(asked), _AT_ONCE):
+                    some = asked[k : k + _AT_ONCE]
+                    for p, bound in zip(some, bounds(some), strict=True):
+                        out += [(p["same"], i, s) for s, i in _best(p, rows, bounds, bound, top_k)]
+                yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.string(), pa.string(), pa.float64()))], ["same", "field_id", "score"])
+
+    found = both.mapInArrow(run, "same string, field_id string, score double")
+    w = Window.partitionBy("same").orderBy(F.desc("score"), F.desc("field_id"))
+    top = found.withColumn("r", F.row_number().over(w)).where(F.col("r") <= top_k).drop("r")
+    return asked.select(F.col("id").alias("proposal_id"), "same").join(top, "same").select("proposal_id", "field_id", "score")
 
 
 def score_against(f: DataFrame, proposal: dict, top_k: int = 10) -> DataFrame:

@@ -403,3 +403,45 @@ def test_edge_counts_take_no_copies_of_the_targets(spark, monkeypatch):
         e = refgraph.edges(r, [("t", r"NextId\d?", "u")], tg)
         assert "__salt" not in e._jdf.queryExecution().analyzed().toString()
         assert {tuple(x) for x in refgraph.edge_counts(e).collect()} == {("t.NextId->u:resolved", 41), ("t.NextId->u:missing_target", 19)}
+
+
+_PROPOSED = "id string, key string, label string, description string, value_type string, namespace string"
+
+
+def test_proposals_get_their_best_fields_over_blocks_and_copies(spark, monkeypatch):
+    import random
+
+    random.seed(11)
+    word = lambda: random.choice(["author", "naïve", "count", "a", "作者", "x" * 70, "Author", "au-thor", "".join(random.choices("abcde", k=9))])
+    text = lambda: random.choice([None, "", "_".join(word() for _ in range(random.randint(1, 3)))])
+    made = lambda i: (i, text() or "k", text(), text(), random.choice(["text", "Text ", "number", None]), random.choice(["n", "m", None, "", "global"]))
+    known = [made(f"f{i:03}") for i in range(200)]
+    known += [(f"g{i:03}", *known[7][1:]) for i in range(60)]
+    asked = [made(f"p{i:02}") for i in range(25)]
+    asked += [(f"q{i}", *asked[3][1:]) for i in range(3)] + [("r", *known[7][1:])]
+    monkeypatch.setattr(similarity, "_FIELDS", 40)
+    monkeypatch.setattr(similarity, "_PROPOSALS", 7)
+    f = spark.createDataFrame([(*r, "merged" if r[0] == "f001" else "active") for r in known], _PROPOSED + ", status string")
+    got = {}
+    for x in similarity.score_proposals(f, spark.createDataFrame(asked, _PROPOSED), 5).collect():
+        got.setdefault(x.proposal_id, []).append((x.score, x.field_id))
+    as_dict = lambda r: dict(zip(("key", "label", "description", "value_type", "namespace"), r[1:], strict=True))
+    space = lambda r: r[5] or "global"
+    for p in asked:
+        want = sorted(((similarity.pair_score(as_dict(p), as_dict(r))["score"], r[0]) for r in known if space(r) == space(p) and r[0] != "f001"), reverse=True)[:5]
+        assert sorted(got.get(p[0], []), reverse=True) == want
+
+
+def test_few_fields_of_a_large_namespace_are_scored(monkeypatch):
+    import random
+
+    random.seed(5)
+    part = lambda n: "".join(random.choice("bcdfgklmnprst") + random.choice("aeiou") for _ in range(n))
+    first = [part(3) for _ in range(60)]
+    made = lambda: {"key": (k := f"{random.choice(first)}_{part(4)}"), "label": k.title(), "description": "", "value_type": random.choice(["text", "integer", "boolean"]), "namespace": "n"}
+    rows, p, real, n = [made() | {"ids": [str(i)]} for i in range(6000)], made(), similarity.pair_score, []
+    monkeypatch.setattr(similarity, "pair_score", lambda a, b: n.append(1) or real(a, b))
+    bounds = similarity._Bounds(rows)
+    got = similarity._best(p, rows, bounds, bounds([p])[0], 20)
+    assert sorted(got) == sorted(((real(p, r)["score"], r["ids"][0]) for r in rows), reverse=True)[19::-1]
+    assert len(n) < 300
