@@ -223,6 +223,9 @@ def scan(f: DataFrame, threshold: float = 0.72, most: int = 12, excluded: tuple[
 #: Fields and proposals that are compared in one step of score_proposals; proposals
 #: whose bounds are held at once.
 _FIELDS, _PROPOSALS, _AT_ONCE = 30_000, 1_000, 32
+#: Each chunk of proposals takes a copy of its namespace's fields, so beyond that many
+#: chunks they grow, to eight times their size.
+_PARTS = 4
 _TEXTS = ("key", "label", "description")
 #: Copies of a character that are told apart in bounds; characters compared in order.
 _LEVELS, _FIRST = 7, 63
@@ -377,7 +380,8 @@ def score_proposals(f: DataFrame, proposals: DataFrame, top_k: int = 10, exclude
     one, known = spool(one), spool(known)
 
     def parts_of(df: DataFrame, rows: int, name: str) -> DataFrame:
-        return df.groupBy("ns").agg(F.ceil(F.count("*") / rows).alias(name))
+        n = F.count("*")
+        return df.groupBy("ns").agg(F.least(F.ceil(n / rows), F.greatest(F.lit(_PARTS), F.ceil(n / (8 * rows)))).alias(name) if rows == _PROPOSALS else F.ceil(n / rows).alias(name))
 
     def packed(df: DataFrame, own: str, rows: int, name: str) -> DataFrame:
         df = df.select("ns", "same", F.struct(own, *_ATTRS).alias("x"))
